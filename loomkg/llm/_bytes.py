@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -143,7 +144,7 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
 def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 24):
     """The batch in slices whose texts have about `most` bytes at most; a longer text is alone."""
     col = batch.column(column)
-    sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes)
     i, n = 0, len(sizes)
     while i < n:
