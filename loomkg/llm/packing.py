@@ -1,6 +1,6 @@
 """Packing by concatenate-and-cut: two passes of prefix sums, then fixed windows with boundary records.
 
-Tokens are runs of non-white-space; documents are concatenated in storage order (file, then row). The
+Tokens are runs of characters other than ASCII white space and NUL; documents are concatenated in storage order (file, then row). The
 first pass sums the tokens of every stretch of rows that one task reads of one file; the prefix sums of
 these totals are the global offsets. The second pass reads the stretches again, cuts them at multiples
 of the window and emits the windows it holds whole; only the two windows at the edges of a stretch
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, window: int = 2048, id_col: str = "doc_id", text_col:
     return whole.unionByName(joined)
 
 
-_SPACES = {9: " ", 10: " ", 12: " ", 13: " "}
+_SPACES = {0: " ", 9: " ", 10: " ", 12: " ", 13: " "}
 
 ORACLE = """
 WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\f\\r]+'), lambda x: x <> '')) AS token,

@@ -124,11 +124,11 @@ class Trees:
     """Depth-limited regression trees on logistic loss; nodes in heap order."""
 
     depth: int = 3
-    rounds: int = 60
-    rate: float = 0.2
+    rounds: int = 40
+    rate: float = 0.15
     bins: int = 48
     l2: float = 1.0
-    least: int = 5
+    least: int = 10
     base: float = 0.0
     split: list[np.ndarray] = field(default_factory=list)
     cut: list[np.ndarray] = field(default_factory=list)
@@ -138,7 +138,9 @@ class Trees:
         n, k = x.shape
         p0 = np.clip(y.mean(), 1e-3, 1 - 1e-3) if n else 0.5
         self.base = float(np.log(p0 / (1 - p0)))
-        if n < 2 * self.least:
+        # labels are noisy: a leaf needs a fortieth of the rows
+        least = max(self.least, n // 40)
+        if n < 2 * least:
             return self
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(k)]
         cuts = [np.unique(np.r_[c, 0.0]) if (x[:, j] == 0).any() else c for j, c in enumerate(cuts)]
@@ -159,7 +161,7 @@ class Trees:
                     sg, sh, sn = (np.bincount(key, w, m * width).reshape(m, width).cumsum(1) for w in (g, hs, None))
                     tg, th, tn = sg[:, -1:], sh[:, -1:], sn[:, -1:]
                     gain = sg**2 / (sh + self.l2) + (tg - sg) ** 2 / (th - sh + self.l2) - tg**2 / (th + self.l2)
-                    gain[(sn < self.least) | (tn - sn < self.least)] = 0
+                    gain[(sn < least) | (tn - sn < least)] = 0
                     at = gain.argmax(1)
                     top = gain[np.arange(m), at]
                     better = top > best
