@@ -130,13 +130,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = runs.kept().groupBy("__k", "__t").agg(F.collect_list("__n").alias("__kept"))
     text = F.col(f"__d.{text_col}").cast("string")
     joined = docs.alias("__d").join(kept.alias("__r"), F.col(f"__d.{id_col}").eqNullSafe(F.col("__r.__k")) & (F.xxhash64(text) == F.col("__r.__t")), "left")
-    lines = _lines(text)
+    # split once: a lambda over an expression would split for every line
+    joined = joined.withColumn("__lines", _lines(text)).withColumn("__kept", F.col("__r.__kept"))
+    lines = F.col("__lines")
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     blank = F.filter(every, lambda i: F.trim(F.get(lines, i)) == "")
-    stay = F.array_intersect(every, F.array_union(F.coalesce(F.col("__r.__kept"), F.array().cast("array<int>")), blank))
+    joined = joined.withColumn("__blank", blank)
+    blank = F.col("__blank")
+    stay = F.array_intersect(every, F.array_union(F.coalesce(F.col("__kept"), F.array().cast("array<int>")), blank))
+    joined = joined.withColumn("__stay", stay)
+    stay = F.col("__stay")
     clean = F.when(F.size(stay) == F.size(lines), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    was_blank = F.size(blank) == F.size(lines)
-    alive = joined.where(text.isNull() | was_blank | F.col("__r.__kept").isNotNull())
+    # on the text itself, so that this filter does not pull the split back into a lambda
+    was_blank = F.trim(F.translate(text, "\n", "")) == ""
+    alive = joined.where(text.isNull() | was_blank | F.col("__kept").isNotNull())
     cols = {c: F.col(f"__d.`{c}`") for c in docs.columns} | {text_col: clean}
     if length_col in docs.columns:
         cols[length_col] = F.length(clean).cast(docs.schema[length_col].dataType)
