@@ -179,3 +179,22 @@ def label_groups(registry: ModelRegistry, name: str, members: DataFrame, group_c
     g = group_prompts(members, group_col, member_col, min_size, max_members)
     raw = F.trim(chat(registry, name, F.concat(F.lit("Label this group: "), F.col("prompt")), 64))
     return g.select("group_id", F.regexp_replace(raw, "^[\"']|[\"']$", "").alias("label"), "member_count")
+
+
+def scalar_functions(name: str, factory: Callable[[], Any], kind: str, n_ctx: int) -> dict[str, Any]:
+    """Arrow UDFs of one model by suffix, ready to register."""
+
+    def embedded(m: Any, t: str) -> np.ndarray:
+        n = len(m.tokens(t))
+        if not n or n > n_ctx:
+            raise ValueError(f"text has {n} tokens, the context {n_ctx}")
+        return m.embed(t)
+
+    out = {"tokenize": ("array<string>", lambda m, t: m.tokens(t)), "token_count": ("int", lambda m, t: len(m.tokens(t)))}
+    if kind == "embed":
+        out["embed"] = ("array<float>", embedded)
+    else:
+        out["chat"] = ("string", lambda m, t: strip_think_text(m.chat(t, n_ctx)))
+        out["summarize"] = ("string", lambda m, t: strip_think_text(m.chat("Summarize in one sentence: " + t, 256)))
+        out["extract"] = ("string", lambda m, t: json.dumps(parse_extraction(m.extract(t, None, None))))
+    return {s: _mapped(name, factory, k, f) for s, (k, f) in out.items()}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomkg.common import ship, shuffle_partitions
-from loomkg.operators.edges import LOCAL_ARCS, Graph, arcs, check_direction, collected, is_small
+from loomkg.operators.edges import LOCAL_ARCS, Graph, check_direction, collected, is_small
 
 EPS = 1e-10
 
@@ -164,23 +164,24 @@ def closeness(edges: DataFrame, direction: str = "forward", normalized: bool = T
     g = _small(edges, local_arcs)
 
     def part(g: Graph, sources: np.ndarray) -> pd.DataFrame:
-        offs, to, w = g.csr(direction, "min")
-        out = []
-        for s in sources.tolist():
-            if weighted:
-                dist = search(offs, to, w, s, g.n)[0]
-            else:
-                from loomkg.operators.traverse import reach
-
-                depth = reach(offs, to, [s], g.n, None)[0]
-                dist = np.where(depth < 0, np.inf, depth)
-            far = dist[np.isfinite(dist)]
-            r, total = len(far) - 1, float(far.sum())
-            c = r / total if total > 0 else 0.0
-            out.append(c * r / (g.n - 1) if normalized and g.n > 1 else c)
-        return pd.DataFrame({"node": g.names[sources], "centrality": out})
+        return pd.DataFrame({"node": g.names[sources], "centrality": close(g, sources, direction, normalized, weighted)})
 
     return _spread(edges, g, np.arange(g.n), part, "node string, centrality double")
 
 
-_ = arcs
+def close(g: Graph, sources: np.ndarray, direction: str, normalized: bool, weighted: bool) -> list[float]:
+    from loomkg.operators.traverse import reach
+
+    offs, to, w = g.csr(direction, "min")
+    out = []
+    for s in sources.tolist():
+        if weighted:
+            dist = search(offs, to, w, s, g.n)[0]
+        else:
+            depth = reach(offs, to, [s], g.n, None)[0]
+            dist = np.where(depth < 0, np.inf, depth)
+        far = dist[np.isfinite(dist)]
+        r, total = len(far) - 1, float(far.sum())
+        c = r / total if total > 0 else 0.0
+        out.append(c * r / (g.n - 1) if normalized and g.n > 1 else c)
+    return out

@@ -243,3 +243,44 @@ def select(edges: DataFrame, selector: str, local_arcs: int | None = None) -> Da
 
     got = leaf(tree) if isinstance(tree, Node) else build(tree).withColumn("depth", F.lit(0))
     return got.join(index, "node").select("node", "depth", F.lit(label(tree)).alias("direction"), "idx")
+
+
+def select_local(g, selector: str):  # noqa: ANN001, ANN201
+    """(node, depth, direction) in node order, on a graph in memory."""
+    import numpy as np
+    import pandas as pd
+
+    from loomkg.operators.traverse import reach
+
+    tree = parse(selector)
+    for name in sorted(_names(tree)):
+        if g.id_of(name) < 0:
+            raise SelectorError(f"node not found: {name}")
+
+    def walk(seeds: list[int], direction: str, limit: int) -> np.ndarray:
+        offs, to, _ = g.csr(direction)
+        return reach(offs, to, seeds, g.n, None if limit < 0 else limit)[0]
+
+    def leaf(t: Node) -> np.ndarray:
+        s = g.id_of(t.name)
+        if t.closure:
+            return walk(np.flatnonzero(walk([s], "forward", -1) >= 0).tolist(), "reverse", -1)
+        got = [np.where(np.arange(g.n) == s, 0, -1)]
+        if t.up is not None:
+            got.append(walk([s], "reverse", t.up))
+        if t.down is not None:
+            got.append(walk([s], "forward", t.down))
+        best = np.min([np.where(x < 0, g.n + 1, x) for x in got], axis=0)
+        return np.where(best > g.n, -1, best)
+
+    def build(t) -> np.ndarray:  # noqa: ANN001
+        if isinstance(t, Node):
+            return leaf(t) >= 0
+        if isinstance(t, Not):
+            return leaf(t.item) < 0
+        a, b = build(t.left), build(t.right)
+        return a & b if isinstance(t, Both) else a | b
+
+    depth = leaf(tree) if isinstance(tree, Node) else np.where(build(tree), 0, -1)
+    at = np.flatnonzero(depth >= 0)
+    return pd.DataFrame({"node": g.names[at], "depth": depth[at], "direction": label(tree)})

@@ -90,24 +90,59 @@ def dfs(edges: DataFrame, start: str, max_depth: int = 100, direction: str = "fo
 
     def walk(g: Graph) -> pd.DataFrame:
         s = g.id_of(str(start))
-        out: list[tuple] = []
-        if s >= 0:
-            offs, to, _ = g.csr(direction)
-            seen = np.zeros(g.n, bool)
-            stack = [(s, 0, -1)]
-            while stack:
-                v, d, p = stack.pop()
-                if seen[v]:
-                    continue
-                seen[v] = True
-                out.append((g.names[v], d, g.names[p] if p >= 0 else None, len(out)))
-                if d < max_depth:
-                    stack += [(t, d + 1, v) for t in to[offs[v] : offs[v + 1]].tolist() if not seen[t]]
-        return pd.DataFrame(out[1:], columns=["node", "depth", "parent", "visit"])
+        return pd.DataFrame(preorder(g, s, max_depth, direction)[1:] if s >= 0 else [], columns=["node", "depth", "parent", "visit"])
 
     return spark.createDataFrame([(str(start), 0, None, 0)], schema).unionAll(in_one_task(edges, walk, schema))
 
 
+def preorder(g: Graph, s: int, max_depth: int, direction: str) -> list[tuple]:
+    """(node, depth, parent, visit) from node s."""
+    out: list[tuple] = []
+    offs, to, _ = g.csr(direction)
+    seen = np.zeros(g.n, bool)
+    stack = [(s, 0, -1)]
+    while stack:
+        v, d, p = stack.pop()
+        if seen[v]:
+            continue
+        seen[v] = True
+        out.append((g.names[v], d, g.names[p] if p >= 0 else None, len(out)))
+        if d < max_depth:
+            stack += [(t, d + 1, v) for t in to[offs[v] : offs[v + 1]].tolist() if not seen[t]]
+    return out
+
+
+def one_path(g: Graph, start: str, end: str, weighted: bool, direction: str) -> pd.DataFrame:
+    s, e = g.id_of(start), g.id_of(end)
+    none = pd.DataFrame({"node": [], "distance": [], "path_order": []})
+    if start == end:
+        return pd.DataFrame({"node": [start], "distance": [0.0], "path_order": [0]})
+    if s < 0 or e < 0:
+        return none
+    if weighted:
+        dist, parent = dijkstra(*g.csr(direction, "min"), s, g.n)
+    else:
+        offs, to, _ = g.csr(direction)
+        depth, parent = reach(offs, to, [s], g.n, None)
+        dist = np.where(depth < 0, np.inf, depth).astype(float)
+    if not np.isfinite(dist[e]):
+        return none
+    path = [e]
+    while path[-1] != s:
+        path.append(int(parent[path[-1]]))
+    path = path[::-1]
+    return pd.DataFrame({"node": g.names[path], "distance": dist[path], "path_order": np.arange(len(path), dtype=np.int32)})
+
+
+def rank_nodes(g: Graph, damping: float, iterations: int) -> np.ndarray:
+    out = np.bincount(g.src, minlength=g.n)
+    r = np.full(g.n, 1.0 / max(g.n, 1))
+    for _ in range(iterations):
+        share = r / np.maximum(out, 1)
+        r = (1 - damping) / g.n + damping * (np.bincount(g.dst, share[g.src], g.n) + r[out == 0].sum() / g.n)
+    return r
+
+
 def shortest_path(edges: DataFrame, start: str, end: str, weighted: bool = False, direction: str = "forward", local_arcs: int = LOCAL_ARCS) -> DataFrame:
     """(node, distance, path_order) of one shortest path; no rows if there is none, one row if start is end.
 
@@ -123,26 +158,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, weighted: bool = False
         raise ValueError("negative weights have no shortest path here")
     if is_small(edges, local_arcs):
 
-        def walk(g: Graph) -> pd.DataFrame:
-            s, e = g.id_of(start), g.id_of(end)
-            none = pd.DataFrame({"node": [], "distance": [], "path_order": []})
-            if s < 0 or e < 0:
-                return none
-            if weighted:
-                dist, parent = dijkstra(*g.csr(direction, "min"), s, g.n)
-            else:
-                offs, to, _ = g.csr(direction)
-                depth, parent = reach(offs, to, [s], g.n, None)
-                dist = np.where(depth < 0, np.inf, depth).astype(float)
-            if not np.isfinite(dist[e]):
-                return none
-            path = [e]
-            while path[-1] != s:
-                path.append(int(parent[path[-1]]))
-            path = path[::-1]
-            return pd.DataFrame({"node": g.names[path], "distance": dist[path], "path_order": np.arange(len(path), dtype=np.int32)})
-
-        return in_one_task(edges, walk, _PATH)
+        return in_one_task(edges, lambda g: one_path(g, start, end, weighted, direction), _PATH)
     hops = arcs(edges, direction).withColumn("weight", F.col("weight") if weighted else F.lit(1.0)).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     best = front = checkpointed(spark.createDataFrame([(start, 0.0)], "node string, dist double"))
     while not front.isEmpty():
@@ -235,16 +251,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, loca
     """(node, rank): fixed iterations from 1/N; parallel arcs count; the mass of sinks spreads over all nodes."""
     edges = edges.select("src", "dst", "weight")
     if is_small(edges, local_arcs):
-
-        def rank(g: Graph) -> pd.DataFrame:
-            out = np.bincount(g.src, minlength=g.n)
-            r = np.full(g.n, 1.0 / max(g.n, 1))
-            for _ in range(iterations):
-                share = r / np.maximum(out, 1)
-                r = (1 - damping) / g.n + damping * (np.bincount(g.dst, share[g.src], g.n) + r[out == 0].sum() / g.n)
-            return pd.DataFrame({"node": g.names, "rank": r})
-
-        return in_one_task(edges, rank, "node string, rank double")
+        return in_one_task(edges, lambda g: pd.DataFrame({"node": g.names, "rank": rank_nodes(g, damping, iterations)}), "node string, rank double")
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
     hops = checkpointed(edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("deg")).alias("share")))
     every = nodes(edges).join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("deg").isNull().alias("sink"))

@@ -20,8 +20,10 @@ def changed(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def read_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Events with their file; a line that is no JSON is a row with only `broken` set."""
-    raw = spark.read.schema(EVENT + ", broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(paths)
-    return raw.select("*", F.col("_metadata.file_path").alias("source_file"))
+    # from_json rather than the JSON reader, which refuses queries of the broken lines alone
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    return lines.where(F.trim("value") != "").select(F.from_json("value", EVENT + ", broken string", options).alias("e"), "source_file").select("e.*", "source_file")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
