@@ -41,7 +41,8 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(s):
         return out, np.zeros(n, np.int64)
     h = B.hashes(buf, B.WORDS, s, e)
-    shift = np.uint64(64 - max(1, int(n - 1).bit_length()))
+    # 24 bits of the text's place, 40 of the word's hash: the same 40 whatever the size of the batch
+    shift = np.uint64(40)
     key = np.sort((B.owners(first).astype(np.uint64) << shift) | (h & ((np.uint64(1) << shift) - np.uint64(1))))
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     weight = np.sqrt(np.diff(np.r_[at, len(key)])).astype(np.float32)
