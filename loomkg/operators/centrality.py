@@ -40,24 +40,12 @@ def _small(edges: DataFrame, limit: int) -> Graph:
     return collected(edges)
 
 
-def search(offs: np.ndarray, to: np.ndarray, w: np.ndarray | None, s: int, n: int) -> tuple[np.ndarray, np.ndarray, list[int], list[list[int]]]:
+def search(offs: np.ndarray, to: np.ndarray, w: np.ndarray, s: int, n: int) -> tuple[np.ndarray, np.ndarray, list[int], list[list[int]]]:
     """(distance, number of shortest paths, nodes by distance, predecessors) over distinct arcs."""
     dist, sigma = np.full(n, np.inf), np.zeros(n)
     pred: list[list[int]] = [[] for _ in range(n)]
     dist[s], sigma[s] = 0.0, 1.0
     order: list[int] = []
-    if w is None:
-        queue = [s]
-        for v in queue:
-            order.append(v)
-            for t in to[offs[v] : offs[v + 1]].tolist():
-                if dist[t] == math.inf:
-                    dist[t] = dist[v] + 1
-                    queue.append(t)
-                if dist[t] == dist[v] + 1:
-                    sigma[t] += sigma[v]
-                    pred[t].append(v)
-        return dist, sigma, order, pred
     heap, done = [(0.0, s)], np.zeros(n, bool)
     while heap:
         d, v = heapq.heappop(heap)
@@ -99,21 +87,71 @@ def _spread(edges: DataFrame, graph: Graph, sources: np.ndarray, f, schema: str)
     return spark.range(0, len(sources), 1, tasks).mapInPandas(run, schema)
 
 
-def _flow(g: Graph, sources: np.ndarray, direction: str, weighted: bool, by_edge: bool) -> tuple[np.ndarray, dict[tuple[int, int], float]]:
+def hops(offs: np.ndarray, to: np.ndarray, s: int, n: int) -> np.ndarray:
+    """Hops from s, -1 where there is no way."""
+    dist = np.full(n, -1, np.int64)
+    dist[s] = 0
+    front, level = np.array([s]), 0
+    while len(front):
+        size = offs[front + 1] - offs[front]
+        t = to[np.repeat(offs[front] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        new = np.zeros(n, bool)
+        new[t[dist[t] < 0]] = True
+        front = np.flatnonzero(new)
+        level += 1
+        dist[front] = level
+    return dist
+
+
+def levels(offs: np.ndarray, to: np.ndarray, s: int, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(hops or -1, number of shortest paths, arcs on shortest paths by level), whole levels at a time."""
+    dist, sigma = np.full(n, -1, np.int64), np.zeros(n)
+    dist[s], sigma[s] = 0, 1.0
+    front, level, used = np.array([s]), 0, []
+    while len(front):
+        size = offs[front + 1] - offs[front]
+        at = np.repeat(offs[front] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        t = to[at]
+        new = np.zeros(n, bool)
+        new[t[dist[t] < 0]] = True
+        on = new[t]
+        at, t, by = at[on], t[on], np.repeat(front, size)[on]
+        front = np.flatnonzero(new)
+        level += 1
+        dist[front] = level
+        if len(at):
+            sigma += np.bincount(t, sigma[by], n)
+            used.append(at)
+    return dist, sigma, used
+
+
+def _flow(g: Graph, sources: np.ndarray, direction: str, weighted: bool, by_edge: bool) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(sum of dependencies of each node, (from, to, flow) of each distinct arc) over the sources."""
     offs, to, w = g.csr(direction, "min")
-    node, edge = np.zeros(g.n), {}
+    owner = np.repeat(np.arange(g.n), np.diff(offs))
+    node, flow = np.zeros(g.n), np.zeros(len(to))
     for s in sources.tolist():
-        _, sigma, order, pred = search(offs, to, w if weighted else None, s, g.n)
         delta = np.zeros(g.n)
-        for t in reversed(order):
-            for v in pred[t]:
+        if weighted:
+            _, sigma, order, pred = search(offs, to, w, s, g.n)
+            for t in reversed(order):
+                for v in pred[t]:
+                    c = sigma[v] / sigma[t] * (1 + delta[t])
+                    delta[v] += c
+                    if by_edge:
+                        flow[offs[v] + np.searchsorted(to[offs[v] : offs[v + 1]], t)] += c
+        else:
+            _, sigma, used = levels(offs, to, s, g.n)
+            for at in reversed(used):
+                v, t = owner[at], to[at]
                 c = sigma[v] / sigma[t] * (1 + delta[t])
-                delta[v] += c
+                delta += np.bincount(v, c, g.n)
                 if by_edge:
-                    edge[v, t] = edge.get((v, t), 0.0) + c
-            if t != s:
-                node[t] += delta[t]
-    return node, edge
+                    flow[at] += c
+        delta[s] = 0
+        node += delta
+    some = np.flatnonzero(flow)
+    return node, (owner[some], to[some], flow[some])
 
 
 def _scale(n: int, used: int, direction: str, normalized: bool) -> float:
@@ -148,8 +186,8 @@ def edge_betweenness(edges: DataFrame, direction: str = "forward", normalized: b
     k = _scale(g.n, len(src), direction, normalized)
 
     def part(g: Graph, sources: np.ndarray) -> pd.DataFrame:
-        _, edge = _flow(g, sources, direction, weighted, True)
-        return pd.DataFrame([(g.names[a], g.names[b], c) for (a, b), c in edge.items()], columns=["src", "dst", "c"])
+        _, (a, b, c) = _flow(g, sources, direction, weighted, True)
+        return pd.DataFrame({"src": g.names[a], "dst": g.names[b], "c": c})
 
     flow = _spread(edges, g, src, part, "src string, dst string, c double").groupBy("src", "dst").agg((F.sum("c") * k).alias("centrality"))
     stored = edges.select("src", "dst")
@@ -170,15 +208,13 @@ def closeness(edges: DataFrame, direction: str = "forward", normalized: bool = T
 
 
 def close(g: Graph, sources: np.ndarray, direction: str, normalized: bool, weighted: bool) -> list[float]:
-    from loomkg.operators.traverse import reach
-
     offs, to, w = g.csr(direction, "min")
     out = []
     for s in sources.tolist():
         if weighted:
             dist = search(offs, to, w, s, g.n)[0]
         else:
-            depth = reach(offs, to, [s], g.n, None)[0]
+            depth = hops(offs, to, s, g.n)
             dist = np.where(depth < 0, np.inf, depth)
         far = dist[np.isfinite(dist)]
         r, total = len(far) - 1, float(far.sum())
