@@ -192,20 +192,27 @@ class Trees:
         return f
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots of a rising step-wise linear map from score to probability."""
-    order = np.argsort(score, kind="stable")
-    xs, inverse = np.unique(score[order], return_inverse=True)
-    w = np.bincount(inverse).astype(float)
-    v = np.bincount(inverse, y[order]) / w
+def isotonic(score: np.ndarray, y: np.ndarray, prior: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots of a rising piecewise linear map from score to probability.
+
+    A knot is the mean score of a block; its level counts `prior` rows at the base rate, so that a few noisy
+    labels make no block of their own, and documents between two blocks lean to neither.
+    """
+    # equal scores share a block, whatever their labels
+    xs, inverse = np.unique(score, return_inverse=True)
+    size = np.bincount(inverse, minlength=len(xs)).astype(float)
+    mean = np.bincount(inverse, y, len(xs)) / np.maximum(size, 1)
     blocks: list[list[float]] = []
-    for i in range(len(xs)):
-        blocks.append([v[i], w[i], xs[i], xs[i]])
+    for x, v, n in zip(xs.tolist(), mean.tolist(), size.tolist(), strict=True):
+        blocks.append([v, n, x])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             b = blocks.pop()
             a = blocks[-1]
-            a[0], a[1], a[3] = (a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], b[3]
-    return np.array([z for b in blocks for z in (b[2], b[3])]), np.array([b[0] for b in blocks for _ in (0, 1)])
+            w = a[1] + b[1]
+            a[0], a[2], a[1] = (a[0] * a[1] + b[0] * b[1]) / w, (a[2] * a[1] + b[2] * b[1]) / w, w
+    base = float(y.mean()) if len(y) else 0.0
+    level = np.array([(v * w + base * prior) / (w + prior) for v, w, _ in blocks])
+    return np.array([x for _, _, x in blocks]), np.maximum.accumulate(level) if len(level) else level
 
 
 @dataclass
