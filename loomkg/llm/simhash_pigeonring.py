@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomkg.common import checkpointed, new_path, ship, written
+from loomkg.common import checkpointed, ship, written
 from loomkg.llm import _bytes as B
 from loomkg.llm._run import arrow_map
 
@@ -112,8 +112,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
 
 
-def similar(prints: DataFrame, rows: int, budget: int, recall: float, key_bits: int = 0) -> DataFrame:
-    """(a, b, distance) pairs of distinct fingerprints within the budget; prints: (f binary)."""
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Labels after joining the near pairs; `near` keeps only the pairs that joined two components."""
+    root = label.copy()
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = int(root[x])
+        return x
+
+    for p in np.flatnonzero(near).tolist():
+        x, y = find(int(a[p])), find(int(b[p]))
+        if x == y:
+            near[p] = False
+        else:
+            root[max(x, y)] = min(x, y)
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
+def similar(prints: DataFrame, rows: int, budget: int, recall: float, key_bits: int = 0, forest: bool = False) -> DataFrame:
+    """(a, b, distance) pairs of distinct fingerprints within the budget; prints: (f binary).
+
+    forest: of the pairs that share a key only a spanning forest is compared and given out, which has the same
+    components; a stretch of many near copies then costs about its length instead of its square.
+    """
     ship(prints.sparkSession)
     bits, n_keys = key_plan(rows, budget, recall, key_bits)
     rings = _rings(bits, n_keys)
@@ -139,15 +164,20 @@ def similar(prints: DataFrame, rows: int, budget: int, recall: float, key_bits:
             # shift by s: all pairs whose places in a stretch differ by s
             group_end = np.repeat(starts + size, size)
             place = np.arange(len(key))
+            label = np.arange(len(key))
             for s in range(1, int(size.max()) if len(size) else 0):
                 i = place[place + s < group_end]
                 for c in range(0, len(i), 1 << 18):
                     ii = i[c : c + (1 << 18)]
+                    if forest:
+                        ii = ii[label[ii] != label[ii + s]]
                     jj = ii + s
                     ok = pigeonring(f[ii], f[jj], budget)
                     ii, jj = ii[ok], jj[ok]
                     d = distance(f[ii], f[jj])
                     near = d <= budget
+                    if forest and near.any():
+                        label = _join(label, ii, jj, near)
                     if near.any():
                         yield pa.record_batch([pa.array([f[x].tobytes() for x in ii[near]]), pa.array([f[x].tobytes() for x in jj[near]]), pa.array(d[near].astype(np.int32))], ["a", "b", "distance"])
 
@@ -207,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     by_doc = written(arrow_map(rows, of, f"k {kind}, f binary", 1).groupBy("k").agg(F.min("f").alias("f")), name="prints")
     prints = written(by_doc.groupBy("f").agg(F.min("k").alias("k")), name="distinct")
-    pairs = similar(prints, prints.count(), budget, recall, key_bits)
+    pairs = similar(prints, prints.count(), budget, recall, key_bits, forest=True)
     roots = components(pairs.select("a", "b"))
     # the least id of a component stays
     member = roots.join(prints, roots["node"] == prints["f"]).select("node", "root", "k")
@@ -229,5 +259,3 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     gone = near_duplicates(docs, id_col, text_col, **params).select(F.col(id_col).alias("__gone"))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
-
-_ = new_path

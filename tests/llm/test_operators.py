@@ -274,6 +274,11 @@ def test_simhash_recall_against_brute_force(spark):
     frame_ = spark.createDataFrame([(bytearray(x.tobytes()),) for x in f], "f binary")
     got = {(bytes(r.a), bytes(r.b)) for r in simhash_pigeonring.similar(frame_, len(f), 18, 0.95).collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
+    more = np.stack([np.packbits(np.r_[np.unpackbits(base[0])[:110], rng.integers(0, 2, 18)].astype(np.uint8)) for _ in range(300)])
+    every = spark.createDataFrame([(bytearray(x.tobytes()),) for x in np.unique(np.concatenate([f, more]), axis=0)], "f binary").cache()
+    whole, forest = (simhash_pigeonring.similar(every, 1000, 18, 0.95, forest=x).cache() for x in (False, True))
+    roots = [{bytes(r.node): bytes(r.root) for r in simhash_pigeonring.components(x.select("a", "b")).collect()} for x in (whole, forest)]
+    assert roots[0] == roots[1] and forest.count() < whole.count() / 2
 
 
 def test_fingerprints_do_not_depend_on_the_batch():
