@@ -32,7 +32,7 @@ def _table(lower: bool, word: bool) -> np.ndarray:
     return t
 
 
-#: Lower-cased letters, digits and all non-ASCII bytes; the rest separates.
+#: Letters, digits and all non-ASCII bytes; the rest separates. Lower-cases ASCII only: `lowered` does the rest.
 WORDS = _table(True, True)
 #: All that is not ASCII white space, as it is.
 TOKENS = _table(False, False)
@@ -59,6 +59,30 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
+def lowered(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """`flat` of the texts in lower case by Unicode's rules, with a closing sigma as any other.
+
+    Lower-casing turns word bytes into word bytes, so word i of the result is word i of `flat`, though
+    not at the same bytes.
+    """
+    buf, offs = flat(column)
+    if not (buf >= 128).any():
+        return buf, offs
+    texts = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, np.int64)), pa.py_buffer(buf)])
+    try:
+        low = pc.utf8_lower(texts)
+    except pa.ArrowInvalid:
+        # bytes that are no UTF-8 stay
+        raw = texts.cast(pa.large_binary()).to_pylist()
+        low = pa.array([x.decode("utf-8", "surrogateescape").replace("\u0130", "i").lower().encode("utf-8", "surrogateescape") for x in raw], pa.large_binary()).view(pa.large_string())
+    buf, offs = flat(low)
+    sigma = np.flatnonzero((buf[:-1] == 0xCF) & (buf[1:] == 0x82)) + 1
+    if len(sigma):
+        buf = buf.copy()
+        buf[sigma] = 0x83
+    return buf, offs
+
+
 def spans(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each text with a closing entry) of the words; none crosses texts."""
     n = len(buf)

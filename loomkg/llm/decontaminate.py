@@ -1,6 +1,6 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-Items are normalised to lower-cased words; the automaton holds all substrings of all items. Training
+Items are normalised to words in lower case (by Unicode's rules); the automaton holds all substrings of all items. Training
 tokens stream through it and every position gets its longest matching length. Only stretches whose
 `gram`-word windows all occur in an item are streamed: outside them no match of that many words exists,
 so lengths of `gram` and more are exact. All stretches of a batch advance in step, one word each.
@@ -163,7 +163,7 @@ def automata(items: DataFrame, text_col: str = "text", gram: int = 8, part_words
     part: list[np.ndarray] = []
     size = 0
     for row in items.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string")).distinct().toLocalIterator():
-        buf, offs = B.flat(pa.array([row[0]], pa.large_string()))
+        buf, offs = B.lowered(pa.array([row[0]], pa.large_string()))
         s, e, _ = B.spans(buf, offs, B.WORDS)
         h = B.hashes(buf, B.WORDS, s, e)
         if part and size + len(h) > part_words:
@@ -182,7 +182,8 @@ def scan(texts: pa.Array, parts: list[Automaton], max_words: int, coverage: floa
     s, e, first = B.spans(buf, offs, B.WORDS)
     if not len(s):
         return texts, longest, removed, whole
-    h = B.hashes(buf, B.WORDS, s, e)
+    low, low_offs = B.lowered(texts)
+    h = B.hashes(low, B.WORDS, *B.spans(low, low_offs, B.WORDS)[:2])
     marks, best = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
     for part in parts:
         m, b = part.spans(h, first, max_words, coverage)

@@ -34,7 +34,7 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """((n, 16) bytes of the 128-bit SimHash, number of words) of each text."""
-    buf, offs = B.flat(texts)
+    buf, offs = B.lowered(texts)
     n = len(offs) - 1
     out = np.zeros((n, BITS // 8), np.uint8)
     s, e, first = B.spans(buf, offs, B.WORDS)

@@ -46,7 +46,7 @@ _PUNCT[33:48] = _PUNCT[58:65] = _PUNCT[91:97] = _PUNCT[123:127] = True
 
 
 def _hash_words(words: list[str], table: np.ndarray) -> np.ndarray:
-    buf, offs = B.flat(pa.array(sorted(set(words)), pa.large_string()))
+    buf, offs = B.lowered(pa.array(sorted(set(words)), pa.large_string()))
     s, e, _ = B.spans(buf, offs, table)
     return np.unique(B.hashes(buf, table, s, e))
 
@@ -74,7 +74,8 @@ def features(texts: pa.Array, lexicon: list[str] | tuple[str, ...] = LEXICON) ->
         return out
     lex, second, leet = _hash_words(list(lexicon), B.WORDS), _hash_words(SECOND, B.WORDS), _hash_words(list(lexicon), _LEET)
     s, e, first = B.spans(buf, offs, B.WORDS)
-    h = B.hashes(buf, B.WORDS, s, e)
+    low, low_offs = B.lowered(texts)
+    h = B.hashes(low, B.WORDS, *B.spans(low, low_offs, B.WORDS)[:2])
     words = np.maximum(np.diff(first), 1)
     bad, you = _among(h, lex), _among(h, second)
     own = B.owners(first)
@@ -102,18 +103,18 @@ def features(texts: pa.Array, lexicon: list[str] | tuple[str, ...] = LEXICON) ->
     out[:, 7] = _counted(_PUNCT[buf], offs[:-1], offs[1:]) / size
     out[:, 8] = _counted(buf == 33, offs[:-1], offs[1:]) / size
     # Obfuscation: runs that mix letters with digits or symbols, and those that spell a listed word once undone.
-    ls, le, lfirst = B.spans(buf, offs, _LEET)
-    mixed = np.flatnonzero((_counted(_DIGITISH[buf], ls, le) > 0) & (_counted(_LETTER[buf], ls, le) > 1))
+    ls, le, lfirst = B.spans(low, low_offs, _LEET)
+    mixed = np.flatnonzero((_counted(_DIGITISH[low], ls, le) > 0) & (_counted(_LETTER[low], ls, le) > 1))
     lown = B.owners(lfirst)
     out[:, 9] = np.bincount(lown[mixed], minlength=n) / words
     if len(mixed):
         ms, me = ls[mixed], le[mixed].copy()
-        lh = B.hashes(buf, _LEET, ms, me)
+        lh = B.hashes(low, _LEET, ms, me)
         hit = _among(lh, leet)
         # a closing "!" is punctuation rather than a letter
-        while (tail := (buf[me - 1] == 33) & (me - ms > 1)).any():
+        while (tail := (low[me - 1] == 33) & (me - ms > 1)).any():
             me[tail] -= 1
-        hit |= _among(B.hashes(buf, _LEET, ms, me), leet) & (_counted(_DIGITISH[buf], ms, me) > 0)
+        hit |= _among(B.hashes(low, _LEET, ms, me), leet) & (_counted(_DIGITISH[low], ms, me) > 0)
         out[:, 10] = np.bincount(lown[mixed[hit]], minlength=n) / words
     out[:, 11] = np.log1p(np.diff(first))
     return out

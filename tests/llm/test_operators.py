@@ -483,3 +483,39 @@ def test_decontaminate_removes_items_and_nothing_else(spark, odd, empty, items):
     assert decontaminate.decontaminate(d, items.limit(0)).where("leaked").count() == 0
     small = decontaminate.decontaminate(d, items, part_words=5)
     assert {r.doc_id for r in small.where("leaked").collect()} == {0, 2, 4}
+
+
+# upper and lower case --------------------------------------------------------------------------------------
+
+
+def accented(n, rng):
+    return " ".join("".join(rng.choice("abcdéñüçøжλ") for _ in range(rng.randint(3, 8))) for _ in range(n))
+
+
+def test_lowered_follows_unicode_and_keeps_every_word_in_place():
+    texts = ["CIÓN Über ÉTÉ", None, "", "ΟΔΟΣ, ЖУК", "\u212a\u0130 Ⱥx", "plain ASCII"]
+    buf, offs = B.lowered(pa.array(texts))
+    got = [bytes(buf[a:b]).decode() for a, b in zip(offs, offs[1:], strict=False)]
+    assert got == [(x or "").replace("\u0130", "i").lower().replace("ς", "σ") for x in texts]
+    assert B.spans(buf, offs, B.WORDS)[2].tolist() == B.spans(*B.flat(pa.array(texts)), B.WORDS)[2].tolist()
+    broken = pa.array([b"\xff\xc3 \xc3\x89A"], pa.binary()).view(pa.string())
+    assert bytes(B.lowered(broken)[0]) == b"\xff\xc3 \xc3\xa9a"
+
+
+def test_capitals_with_accents_match_in_every_operator(spark):
+    rng = random.Random(31)
+    item, base = accented(30, rng), accented(120, rng)
+    items = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    d = frame(spark, [f"{base} {item.upper()} {base}", base.upper(), base, f"{base[:200]} {item.upper()}. Ende"])
+    out = {r.doc_id: r for r in decontaminate.decontaminate(d, items).collect()}
+    assert out[0].text == f"{base}  {base}" and out[0].longest_match == 30 and out[3].removed_words == 30 and out[3].text == f"{base[:200]} . Ende"
+    assert not out[1].leaked and not out[2].leaked
+    kept = {r.doc_id: r.text for r in decontaminate.clean_documents(d, items).collect()}
+    assert kept[0] == out[0].text and kept[1] == base.upper()
+    f, _ = simhash_pigeonring.fingerprints(pa.array([base, base.upper()]))
+    assert (f[0] == f[1]).all()
+    assert {(r.doc_id, r.duplicate_of) for r in simhash_pigeonring.near_duplicates(d.where("doc_id in (1, 2)")).collect()} == {(2, 1)}
+    spans = {(r.doc_id, r.start_word + r.n_words) for r in suffix_dedup.repeats(d.where("doc_id in (1, 2)")).collect()}
+    assert spans == {(1, 120), (2, 120)}
+    x = toxicity.features(pa.array(["ESTÚPIDO DÉBILE", "estúpido débile", "3STÚPIDO", "3stúpido"]))
+    assert x[0, 1] == 2 == x[1, 1] and x[0, 2] == x[1, 2] and x[2, 10] == x[3, 10] > 0
