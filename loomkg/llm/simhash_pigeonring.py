@@ -78,9 +78,9 @@ def pigeonring(a: np.ndarray, b: np.ndarray, budget: int, chain: int = CHAIN) ->
 
 
 def key_plan(rows: int, budget: int, recall: float, key_bits: int = 0) -> tuple[int, int]:
-    """(bits of a key, number of keys): independent keys reach `recall` for pairs at 2/3 of the budget and above."""
+    """(bits of a key, number of keys): independent keys reach `recall` for pairs at the full budget, so for all within it."""
     bits = key_bits or min(48, max(18, math.ceil(math.log2(max(rows, 2)))))
-    p = (1 - budget * 0.72 / BITS) ** bits
+    p = math.comb(BITS - budget, bits) / math.comb(BITS, bits)
     return bits, max(4, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 

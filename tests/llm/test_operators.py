@@ -281,6 +281,18 @@ def test_simhash_recall_against_brute_force(spark):
     assert roots[0] == roots[1] and forest.count() < whole.count() / 2
 
 
+@pytest.mark.parametrize("rows", [1000, 262_144, 10_000_000])
+@pytest.mark.parametrize("apart", [14, 16, 18])
+def test_simhash_recall_holds_at_every_distance_and_size(rows, apart):
+    rng = np.random.default_rng(apart)
+    bits = rng.integers(0, 2, (4000, 128), dtype=np.uint8)
+    other = bits.copy()
+    other[np.arange(4000)[:, None], rng.random((4000, 128)).argsort(1)[:, :apart]] ^= 1
+    rings = simhash_pigeonring._rings(*simhash_pigeonring.key_plan(rows, 18, 0.95))
+    x, y = (simhash_pigeonring._keys(np.packbits(b, axis=1, bitorder="little"), rings) for b in (bits, other))
+    assert (x == y).any(1).mean() >= 0.94
+
+
 def test_fingerprints_do_not_depend_on_the_batch():
     texts = [prose(50) for _ in range(300)]
     f, _ = simhash_pigeonring.fingerprints(pa.array(texts))
