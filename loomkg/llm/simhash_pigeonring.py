@@ -1,6 +1,8 @@
 """SimHash near-dedup with pigeonring filtering.
 
 Each text gets a 128-bit SimHash of its distinct words, weighted by the square root of their counts.
+In scripts that are written without spaces each character counts as a word, and pairs of neighbours are
+what is hashed. Texts too short for a fingerprint are grouped by a hash of their normalised text instead.
 Equal fingerprints collapse first, so a group of thousands of copies costs one row. Candidates agree in
 one key: `key_bits` consecutive bits of a ring, a seeded permutation of the 128 bits; several rings and
 starts are indexed. The number of keys follows from `recall` at `budget` bits of distance and the key
@@ -14,6 +16,7 @@ Groups are connected components of the pairs found; the least id of a group is t
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -29,15 +32,57 @@ from loomkg.llm._run import arrow_map
 BITS = 128
 SEGMENTS = 16
 CHAIN = 6
+#: Bytes of the hash of a short text.
+EXACT = 20
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+def _unspaced(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the characters of scripts without spaces: Han, kana, Thai, Lao, Burmese, Khmer."""
+    at = np.flatnonzero(buf >= 0xE0)
+    at = at[at + 2 < len(buf)]
+    a, b = buf[at], buf[at + 1]
+    three = ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & (((b >= 0x80) & (b <= 0x82)) | (b == 0x9E) | (b == 0x9F)))
+    three |= ((a == 0xE2) & (b >= 0xBA)) | ((a >= 0xE3) & (a <= 0xE9)) | ((a == 0xEF) & (((b >= 0xA4) & (b <= 0xAB)) | ((b >= 0xBC) & (b <= 0xBE))))
+    four = (a == 0xF0) & (b >= 0xA0)
+    keep = three | four
+    return at[keep], np.minimum(at[keep] + np.where(four[keep], 4, 3), len(buf))
+
+
+def _units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, ends of what is hashed, first of each text) of the words, characters without spaces being words."""
+    s, e, first = B.spans(buf, offs, B.WORDS)
+    cs, ce = _unspaced(buf)
+    if not len(cs) or not len(s):
+        return s, e, e, first
+    # pieces of words begin at words, at such characters and behind them
+    begin = np.unique(np.concatenate([s, cs, ce]))
+    word = np.searchsorted(s, begin, side="right") - 1
+    fine = (word >= 0) & (begin < e[word])
+    begin, word = begin[fine], word[fine]
+    end = np.minimum(np.r_[begin[1:], len(buf)], e[word])
+    single = np.isin(begin, cs)
+    hashed = end.copy()
+    pair = np.flatnonzero(single[:-1] & single[1:] & (word[:-1] == word[1:]))
+    hashed[pair] = end[pair + 1]
+    return begin, end, hashed, np.searchsorted(begin, offs).astype(np.int64)
+
+
+def _exact(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> bytes | None:
+    """Hash of the words, or of all but white space where there are none; None if that is nothing. Longer than a fingerprint."""
+    said = b" ".join(bytes(B.WORDS[buf[a:b]]) for a, b in zip(s, e, strict=True)) or b" ".join(bytes(buf).split())
+    return hashlib.blake2b(said, digest_size=EXACT).digest() if said else None
+
+
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """((n, 16) bytes of the 128-bit SimHash, number of words) of each text."""
     buf, offs = B.lowered(texts)
+    return _fingerprints(buf, offs, *_units(buf, offs))
+
+
+def _fingerprints(buf: np.ndarray, offs: np.ndarray, s: np.ndarray, end: np.ndarray, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(offs) - 1
     out = np.zeros((n, BITS // 8), np.uint8)
-    s, e, first = B.spans(buf, offs, B.WORDS)
     if not len(s):
         return out, np.zeros(n, np.int64)
     h = B.hashes(buf, B.WORDS, s, e)
@@ -221,7 +266,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 18, recall: float = 0.95, min_words: int = 8, key_bits: int = 0) -> DataFrame:
     """(id, duplicate_of, distance) of every document that a lesser id of its group stands for.
 
-    A text of fewer than `min_words` words, a null text and a null id are in no group. Rows that repeat an id
+    A text of fewer than `min_words` words (characters, in scripts without spaces) is grouped with those of the
+    same words only, and one without any word with those that differ in white space only. A null or blank text
+    and a null id are in no group. Rows that repeat an id
     with texts of different groups belong to the group of its least fingerprint. distance is that between
     the two fingerprints, which may exceed the budget where a chain of pairs links them. Column names of the
     input other than the two do not matter; an empty table gives no rows.
@@ -230,14 +277,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
-        f, n = fingerprints(b.column(1))
-        keep = pa.array(n >= min_words)
-        return pa.record_batch([b.column(0), pa.array([x.tobytes() for x in f], pa.binary())], ["k", "f"]).filter(keep)
+        buf, offs = B.lowered(b.column(1))
+        s, end, hashed, first = _units(buf, offs)
+        f, n = _fingerprints(buf, offs, s, end, hashed, first)
+        key: list[bytes | None] = [x.tobytes() for x in f]
+        for i in np.flatnonzero(n < min_words).tolist():
+            own = slice(int(first[i]), int(first[i + 1]))
+            key[i] = _exact(buf[offs[i] : offs[i + 1]], s[own] - offs[i], end[own] - offs[i])
+        out = pa.record_batch([b.column(0), pa.array(key, pa.binary())], ["k", "f"])
+        return out.filter(out.column(1).is_valid())
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     by_doc = written(arrow_map(rows, of, f"k {kind}, f binary", 1).groupBy("k").agg(F.min("f").alias("f")), name="prints")
     prints = written(by_doc.groupBy("f").agg(F.min("k").alias("k")), name="distinct")
-    pairs = similar(prints, prints.count(), budget, recall, key_bits, forest=True)
+    long = prints.where(F.length("f") < EXACT)
+    pairs = similar(long, long.count(), budget, recall, key_bits, forest=True)
     roots = components(pairs.select("a", "b"))
     # the least id of a component stays
     member = roots.join(prints, roots["node"] == prints["f"]).select("node", "root", "k")
@@ -247,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.pandas_udf("int")
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BITS // 8) for s in (a, b))
+        x, y = (np.frombuffer(b"".join(v[: BITS // 8] for v in s), np.uint8).reshape(-1, BITS // 8) for s in (a, b))
         return pd.Series(distance(x, y).astype(np.int32))
 
     out = by_doc.join(own, "f").where("k <> duplicate_of").select(F.col("k").alias(id_col), "duplicate_of", apart("f", "kept_f").alias("distance"))

@@ -300,6 +300,21 @@ def test_fingerprints_do_not_depend_on_the_batch():
         assert (simhash_pigeonring.fingerprints(pa.array([texts[i]]))[0][0] == f[i]).all()
 
 
+def test_short_texts_and_texts_without_spaces_are_grouped(spark):
+    rng = random.Random(17)
+    han = ["".join(chr(rng.randint(0x4E00, 0x6E00)) for _ in range(300)) for _ in range(3)]
+    thai = "".join(chr(rng.randint(0x0E01, 0x0E2E)) for _ in range(200))
+    near = han[0][:150] + "\u6f00" + han[0][151:]
+    texts = ["Thank you!", "thank  YOU", "thank you all", "!!!", " !!!", "???", "", " ", None, "", *han, han[1], near, thai, thai, "東京", "東京", "東京都", "Thank you!", "x", "Straße 東京", "STRASSE 東京"]
+    d = frame(spark, texts)
+    got = {(r.doc_id, r.duplicate_of): r.distance for r in simhash_pigeonring.near_duplicates(d).collect()}
+    assert set(got) == {(1, 0), (20, 0), (4, 3), (13, 11), (14, 10), (16, 15), (18, 17)}
+    assert all(v == 0 for k, v in got.items() if k != (14, 10)) and got[14, 10] <= 18
+    assert simhash_pigeonring.keep_one(d).count() == len(texts) - 7
+    f, n = simhash_pigeonring.fingerprints(pa.array(["東京 tower2東", "ab cd", "東京", "é東ü"]))
+    assert n.tolist() == [4, 2, 2, 3]
+
+
 def test_pigeonring_loses_no_pair_within_the_budget():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 256, (5000, 16), dtype=np.uint8)
