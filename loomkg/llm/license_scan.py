@@ -30,6 +30,7 @@ TEMPLATES = {
     "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "Subject to the terms of the Mozilla Public License, v. 2.0.",
+    "all-rights-reserved": "All rights reserved.",
     "proprietary": "All rights reserved. No part of this may be reproduced without permission.",
 }
 

@@ -439,6 +439,20 @@ def test_license_scan_by_brute_force(spark, odd, empty):
     assert license_scan.license_matches(frame(spark, ["Released under the MIT License."]), templates={}).count() == 0
 
 
+def test_license_scan_reports_every_license_line_of_the_fixture():
+    import re
+
+    import pyarrow.parquet as pq
+
+    known = license_scan.Templates(license_scan.TEMPLATES, 0.7)
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].combine_chunks()
+    found = {(d, p) for ds, kind, place, _, _ in license_scan.scan(docs, known) if kind == "line" for d, p in zip(ds.tolist(), place.tolist(), strict=True)}
+    line = re.compile(r"all rights reserved\W*|.*\b(licensed under|under the MIT License|waived all copyright|Mozilla Public License)\b.*", re.I)
+    planted = {(i, n): x for i, text in enumerate(docs.to_pylist()) for n, x in enumerate((text or "").split("\n")) if len(x.split()) < 20 and line.fullmatch(x.strip())}
+    assert sum(x.strip().lower().startswith("all rights") for x in planted.values()) > 50
+    assert not [x for at, x in planted.items() if at not in found]
+
+
 # packing ---------------------------------------------------------------------------------------------------
 
 
