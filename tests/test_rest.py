@@ -90,6 +90,22 @@ def test_index_recall(spark):
     assert base.QUERIES["recall_ivf"](spark, SF).first().recall >= 0.8
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
+def test_knn_searches_for_every_row(spark, metric):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    dot, sq = x @ x.T, (x * x).sum(1)
+    dist = {"l2": sq[:, None] + sq - 2 * dot, "cosine": 1 - dot / np.sqrt(sq[:, None] * sq), "inner_product": -dot}[metric]
+    got = {}
+    for r in base.QUERIES[f"knn_{metric}_all"](spark, SF).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.distance
+    assert set(got) == set(ids.tolist())
+    for i, q in enumerate(ids.tolist()):
+        assert [got[q][k] for k in sorted(got[q])] == pytest.approx(np.sort(dist[i])[:10].tolist(), abs=2e-5)
+
+
 def test_jaro_winkler():
     jw = text.jaro_winkler
     assert abs(jw("martha", "marhta") - 0.9611) < 1e-3 and jw("", "") == 1 and jw("hello", "") == 0 and jw("abc", "xyz") == 0
