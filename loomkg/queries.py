@@ -461,6 +461,13 @@ def bm25_topk(spark, d):  # noqa: ANN001, ANN201
     return tx.bm25(t(spark, d, "documents"), q, 10, max_terms=3).withColumn("score", F.round("score", 6))
 
 
+@query()
+def bm25_topk_20_terms(spark, d):  # noqa: ANN001, ANN201
+    """With the reference's 20 terms."""
+    q = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return tx.bm25(t(spark, d, "documents"), q, 10, max_terms=20).withColumn("score", F.round("score", 6))
+
+
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, len(t), 206)) s FROM w)
  SELECT doc_id, (s // 206)::INTEGER AS chunk, array_to_string(t[s + 1 : s + 256], ' ') AS text FROM s WHERE s = 0 OR len(t) - s >= 64""")
 def token_window_chunks(spark, d):  # noqa: ANN001, ANN201

@@ -106,6 +106,29 @@ def test_knn_searches_for_every_row(spark, metric):
         assert [got[q][k] for k in sorted(got[q])] == pytest.approx(np.sort(dist[i])[:10].tolist(), abs=2e-5)
 
 
+def test_bm25_takes_twenty_terms_by_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    def words(x):
+        return [w for w in re.split(r"[\W_]+", (x or "").lower()) if w]
+
+    docs = {r.doc_id: Counter(words(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    mean = sum(c.total() for c in docs.values()) / len(docs)
+    df = Counter(w for c in docs.values() for w in c)
+    want = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect():
+        q = list(dict.fromkeys(words(r.text)[:20]))
+        hits = {d: c for d, c in docs.items() if q and all(w in c for w in q)}
+        score = {d: sum(math.log((len(docs) - df[w] + 0.5) / (df[w] + 0.5) + 1) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w in q) for d, c in hits.items()}
+        for d in sorted(score, key=lambda d: (-round(score[d], 9), d))[:10]:
+            want[r.item_id, d] = score[d]
+    got = {(r.qid, r.doc_id): r.score for r in base.QUERIES["bm25_topk_20_terms"](spark, SF).collect()}
+    assert want and set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 2e-6 * max(1, want[k]) for k in want)
+
+
 def test_jaro_winkler():
     jw = text.jaro_winkler
     assert abs(jw("martha", "marhta") - 0.9611) < 1e-3 and jw("", "") == 1 and jw("hello", "") == 0 and jw("abc", "xyz") == 0
