@@ -245,8 +245,110 @@ def test_toxicity_catches_plain_and_obfuscated(spark, odd, empty):
     assert not any(t for _, t in rows) and toxicity.score(odd, m).count() == odd.count()
     assert toxicity.score(empty, m).count() == 0 and toxicity.reject_toxic(odd, m).columns == odd.columns
     assert toxicity.train(empty, spark.createDataFrame([], "doc_id bigint, toxic int")).trees.split == []
-    x = toxicity.features(pa.array(["you st0pid 1d10t", "you stupid idiot", "nice day", None]))
-    assert x[0, 10] > 0 and x[1, 1] == 2 and x[1, 3] > 0 and not x[3].any()
+    x = toxicity.features(pa.array(["you stup1d 1d10t", "you stupid idiot", "nice day", None]))
+    at = toxicity.NAMES.index
+    assert x[0, at("lexicon_count")] == x[1, at("lexicon_count")] == 2 and x[0, at("hidden_share")] > 0 and x[1, at("hidden_share")] == 0
+    assert (x[:2, at("near_second_share")] > 0).all() and not x[3].any()
+
+
+OBFUSCATIONS = {
+    "plain": lambda w, r: w,
+    "leet": lambda w, r: "".join({"o": "0", "i": "1", "e": "3", "a": "4", "s": "5"}.get(c, c) for c in w),
+    "starred": lambda w, r: (lambda i: w[:i] + "*" + w[i + 1 :])(r.randrange(1, len(w))),
+    "spaced": lambda w, r: " ".join(w),
+    "dotted": lambda w, r: ".".join(w),
+    "stretched": lambda w, r: (lambda i: w[:i] + w[i] * 4 + w[i + 1 :])(r.randrange(len(w))),
+    "hyphenated": lambda w, r: (lambda i: w[:i] + "-" + w[i:])(r.randrange(1, len(w))),
+    "invisible": lambda w, r: (lambda i: w[:i] + "\u200b" + w[i:])(r.randrange(1, len(w))),
+    "capitals": lambda w, r: w.upper(),
+}
+
+
+@pytest.fixture(scope="module")
+def toxicity_held_out(spark):
+    """A model of 2,400 labelled rows and the labelled texts it has not seen."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(d, labels, max_train=2400)
+    seen = toxicity.bounded(labels.where("toxic is not null").withColumnRenamed("doc_id", "k"), "k", 2400).select("k")
+    rows = d.join(labels, "doc_id").join(seen, labels.doc_id == seen.k, "left_anti").select("text", "toxic").distinct().collect()
+    return m, rows
+
+
+@pytest.mark.parametrize("kind", sorted(OBFUSCATIONS))
+def test_toxicity_catches_hidden_words_in_held_out_texts(toxicity_held_out, kind):
+    import re
+
+    m, rows = toxicity_held_out
+    # words of the held-out toxic texts that no clean text has
+    clean = {w for r in rows if not r.toxic for w in re.findall(r"[a-z]+", r.text.lower())}
+    count = {}
+    for r in rows:
+        if r.toxic:
+            for w in set(re.findall(r"[a-z]+", r.text.lower())) - clean:
+                count[w] = count.get(w, 0) + 1
+    marks = {w for w, n in count.items() if n >= 20}
+    assert len(marks) >= 8
+    rng, pattern = random.Random(13), re.compile(r"\b(" + "|".join(sorted(marks)) + r")\b", re.IGNORECASE)
+    texts = [pattern.sub(lambda x: OBFUSCATIONS[kind](x[0].lower(), rng), r.text) for r in rows if r.toxic and pattern.search(r.text)]
+    assert len(texts) > 50 and (m.judge(pa.array(texts)) >= 0.5).mean() >= 0.9
+
+
+def test_toxicity_leaves_held_out_clean_texts(toxicity_held_out):
+    m, rows = toxicity_held_out
+    clean = [r.text for r in rows if not r.toxic]
+    assert (m.judge(pa.array(clean)) < 0.5).mean() > 0.97
+
+
+def test_toxicity_learns_unlisted_and_inflected_words(spark):
+    rng = random.Random(19)
+    texts, labels = [], []
+    for i in range(1500):
+        words = prose(rng.randint(20, 60), rng).split()
+        bad = i % 8 == 0
+        for _ in range(2 * bad):
+            words.insert(rng.randrange(len(words)), rng.choice(["zorblax", "quemvu" + rng.choice(WORDS), "Wixtu" + rng.choice(WORDS)]))
+        texts.append(" ".join(words))
+        labels.append((i, int(bad)))
+    m = toxicity.train(frame(spark, texts), spark.createDataFrame(labels[:900], "doc_id bigint, toxic int"))
+    flagged = m.judge(pa.array(texts[900:])) >= 0.5
+    bad = np.array([b for _, b in labels[900:]]) == 1
+    assert flagged[bad].mean() > 0.95 and flagged[~bad].mean() < 0.02
+
+
+def brute_tree(x, y, depth, least, l2=1.0, gain=4.0, rate=0.15):
+    """One regression tree on the first gradients by trying every cut of every feature; leaf values of the rows."""
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def grow(at, level):
+        best = (gain, None)
+        if level < depth:
+            for j in range(x.shape[1]):
+                for c in np.unique(x[at, j])[:-1]:
+                    left = x[at, j] <= c
+                    if min(left.sum(), (~left).sum()) >= least:
+                        a, b = at[left], at[~left]
+                        v = g[a].sum() ** 2 / (h[a].sum() + l2) + g[b].sum() ** 2 / (h[b].sum() + l2) - g[at].sum() ** 2 / (h[at].sum() + l2)
+                        if v > best[0] + 1e-12:
+                            best = (v, (a, b))
+        if best[1] is None:
+            out[at] = -rate * g[at].sum() / (h[at].sum() + l2)
+        else:
+            for side in best[1]:
+                grow(side, level + 1)
+
+    out = np.zeros(len(y))
+    grow(np.arange(len(y)), 0)
+    return out + np.log(p / (1 - p))
+
+
+def test_trees_equal_exhaustive_splits():
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        x = rng.integers(0, 12, (400, 4)).astype(float)
+        y = ((x[:, 0] > 5) & (x[:, 2] < 8) | (rng.random(400) < 0.1)).astype(float)
+        t = toxicity.Trees(depth=2, rounds=1).fit(x, y)
+        assert np.allclose(t.score(x), brute_tree(x, y, 2, 10), atol=1e-9)
 
 
 def test_trees_fit_an_interaction():
@@ -558,5 +660,5 @@ def test_capitals_with_accents_match_in_every_operator(spark):
     assert {(r.doc_id, r.duplicate_of) for r in simhash_pigeonring.near_duplicates(d.where("doc_id in (1, 2)")).collect()} == {(2, 1)}
     spans = {(r.doc_id, r.start_word + r.n_words) for r in suffix_dedup.repeats(d.where("doc_id in (1, 2)")).collect()}
     assert spans == {(1, 120), (2, 120)}
-    x = toxicity.features(pa.array(["ESTÚPIDO DÉBILE", "estúpido débile", "3STÚPIDO", "3stúpido"]))
-    assert x[0, 1] == 2 == x[1, 1] and x[0, 2] == x[1, 2] and x[2, 10] == x[3, 10] > 0
+    x = toxicity.features(pa.array(["ESTÚPIDO DÉBILE", "estúpido débile", "3STÚPIDO", "3stúpido"]), toxicity.Lexicon())
+    assert x[0, 1] == 2 == x[1, 1] and x[0, 2] == x[1, 2] and x[2, 13] == x[3, 13] > 0
