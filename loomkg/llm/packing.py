@@ -1,16 +1,19 @@
 """Packing by concatenate-and-cut: two passes of prefix sums, then fixed windows with boundary records.
 
 Tokens are runs of characters other than ASCII white space and NUL; documents are concatenated in storage order (file, then row). The
-first pass sums the tokens of every stretch of rows that one task reads of one file; the prefix sums of
-these totals are the global offsets. The second pass reads the stretches again, cuts them at multiples
-of the window and emits the windows it holds whole; only the two windows at the edges of a stretch
-cross it as boundary records, and these alone are exchanged to be joined. Text is never shuffled.
+first pass sums the tokens of every split, the part of a file that one task reads, whatever rows a filter
+has left of it; the prefix sums of these totals are the global offsets. The second pass reads the splits
+again, cuts them at multiples of the window and emits the windows it holds whole; only the two windows at
+the edges of a split cross it as boundary records, and these alone are exchanged to be joined. Text is never
+shuffled. Driver and workers hold 24 bytes for each split, of which there is one per
+spark.sql.files.maxPartitionBytes of input (and per file): 20 MB for 100 TB in splits of 128 MB.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,31 +23,55 @@ from loomkg.llm import _bytes as B
 SCHEMA = "window_id bigint, tokens int, text string, doc_ids array<{kind}>, starts array<int>, lengths array<int>"
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(file, row, k, t); a table that no longer is a scan of files is written first, ordered by id."""
-    own = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(file, block, split, k, t), split being a hash of file and block; None if the table is no scan of files."""
     try:
-        plain = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-        plain.schema  # noqa: B018
-        return plain
-    except Exception as e:  # noqa: BLE001
-        if "UNRESOLVED" not in str(e) and "FIELD_NOT_FOUND" not in str(e) and "CANNOT" not in str(e):
-            raise
-    at = written(own.repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t"), name="pack")
-    return at.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "k", "t")
-
-
-def _stretches(batches):  # noqa: ANN001, ANN202
-    """(file, first row, batch) with batches cut where rows do not follow one another and at about 8 MB."""
+        at = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
+        at.schema  # noqa: B018
+    except AnalysisException as e:
+        if e.getCondition() and e.getCondition().startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND", "AMBIGUOUS")):
+            return None
+        raise
+    return at.select("file", "block", F.xxhash64("file", "block").alias("split"), "k", "t")
+
+
+def _stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same of a copy written in the order of ids, for tables that are no longer split as their files are."""
+    own = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return _placed(written(own.repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t"), name="pack"), "k", "t")
+
+
+def _stretches(batches, text: int):  # noqa: ANN001, ANN202
+    """(split, batch) with batches cut where the split in column 0 changes and at about 4 MB of the text column."""
     for batch in batches:
-        for b in B.pieces(batch, 3, 1 << 23):
-            file = b.column(0)
-            code = file.dictionary_encode().indices.to_numpy()
-            row = b.column(1).to_numpy()
-            cut = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (row[1:] != row[:-1] + 1)) + 1).tolist(), b.num_rows]
+        for b in B.pieces(batch, text, 1 << 22):
+            split = b.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(split[1:] != split[:-1]) + 1).tolist(), b.num_rows]
             for i, j in zip(cut, cut[1:], strict=False):
                 if j > i:
-                    yield file[i].as_py(), int(row[i]), b.slice(i, j - i)
+                    yield int(split[i]), b.slice(i, j - i)
+
+
+def _totals(rows: DataFrame) -> list[tuple[str, int, int, int]]:
+    """(file, block, split, tokens) of every stretch of rows of one split, in storage order."""
+
+    def count(batches):  # noqa: ANN001, ANN202
+        names = ["file", "block", "split", "n"]
+        now: list = []
+        for split, b in _stretches(batches, 1):
+            buf, offs = B.flat(b.column(1))
+            n = len(B.spans(buf, offs, B.TOKENS)[0])
+            if now and now[2] == split:
+                now[3] += n
+            else:
+                if now:
+                    yield pa.record_batch([[x] for x in now], names)
+                now = [b.column(2)[0].as_py(), b.column(3)[0].as_py(), split, n]
+        if now:
+            yield pa.record_batch([[x] for x in now], names)
+
+    got = rows.select("split", "t", "file", "block").mapInArrow(count, "file string, block bigint, split bigint, n bigint").collect()
+    return sorted((r.file, r.block, r.split, r.n) for r in got)
 
 
 def pack(docs: DataFrame, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,40 +79,28 @@ def pack(docs: DataFrame, window: int = 2048, id_col: str = "doc_id", text_col:
 
     doc_ids, starts and lengths are the boundary records: which document's tokens begin where in the window.
     Tokens are joined by one space. Null and empty texts have no tokens and no record; a null id is a null
-    in doc_ids; repeated rows are packed each; an empty table gives no windows; a document longer than a window
-    spans as many as it needs; other columns are not read.
+    in doc_ids; repeated rows are packed each, in their own places, so there are no ties to break; an empty table gives
+    no windows; a document longer than a window spans as many as it needs; other columns are not read.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _placed(docs, id_col, text_col)
-
-    def count(batches):  # noqa: ANN001, ANN202
-        now: list = []
-        follows = -1
-        for file, row, b in _stretches(batches):
-            buf, offs = B.flat(b.column(3))
-            n = len(B.spans(buf, offs, B.TOKENS)[0])
-            if now and now[0] == file and follows == row:
-                now[2] += n
-            else:
-                if now:
-                    yield pa.record_batch([[now[0]], [now[1]], [now[2]]], ["file", "row", "n"])
-                now = [file, row, n]
-            follows = row + b.num_rows
-        if now:
-            yield pa.record_batch([[now[0]], [now[1]], [now[2]]], ["file", "row", "n"])
-
-    totals = sorted((r.file, r.row, r.n) for r in rows.mapInArrow(count, "file string, row bigint, n bigint").collect())
-    base, at = {}, 0
-    for file, row, n in totals:
-        base[(file, row)] = at, n
-        at += n
-    known = docs.sparkSession.sparkContext.broadcast(base)
+    totals = _totals(rows) if rows is not None else None
+    # a split that several tasks hold, as behind a shuffle, has no order of its own
+    if totals is None or len({x[2] for x in totals}) < len(totals):
+        rows = _stored(docs, id_col, text_col)
+        totals = _totals(rows)
+    splits = np.array([x[2] for x in totals], np.int64)
+    if len(np.unique(splits)) < len(splits):
+        raise RuntimeError("two splits share a hash")
+    size = np.array([x[3] for x in totals], np.int64)
+    order = np.argsort(splits)
+    known = docs.sparkSession.sparkContext.broadcast((splits[order], (np.cumsum(size) - size)[order], size[order]))
 
     def cut(batches):  # noqa: ANN001, ANN202
         names = ["window_id", "tokens", "text", "doc_ids", "starts", "lengths", "whole", "at"]
         id_type = None
-        file_now, follows, pos, end = None, -1, 0, 0
+        now, pos, end = None, 0, 0
         open_: dict = {}
 
         def flush() -> dict:
@@ -100,22 +115,21 @@ def pack(docs: DataFrame, window: int = 2048, id_col: str = "doc_id", text_col:
                 names=names,
             )
 
-        for file, row, b in _stretches(batches):
-            id_type = b.column(2).type
+        keys, bases, sizes = known.value
+        for split, b in _stretches(batches, 2):
+            id_type = b.column(1).type
             out: list[dict] = []
-            if file != file_now or row != follows:
+            if split != now:
                 if open_:
                     out.append(flush())
-                if file_now is not None and pos != end:
+                at = int(np.searchsorted(keys, split))
+                if pos != end or at == len(keys) or keys[at] != split:
                     raise RuntimeError("the second pass read other rows than the first")
-                if (file, row) not in known.value:
-                    raise RuntimeError("the second pass read other stretches than the first")
-                file_now, (pos, n) = file, known.value[(file, row)]
-                end = pos + n
-            follows = row + b.num_rows
-            buf, offs = B.flat(b.column(3))
+                now, pos = split, int(bases[at])
+                end = pos + int(sizes[at])
+            buf, offs = B.flat(b.column(2))
             s, e, first = B.spans(buf, offs, B.TOKENS)
-            ids = b.column(2).to_pylist()
+            ids = b.column(1).to_pylist()
             for d in range(b.num_rows):
                 i, last = int(first[d]), int(first[d + 1])
                 if last > i:
@@ -142,7 +156,7 @@ def pack(docs: DataFrame, window: int = 2048, id_col: str = "doc_id", text_col:
         if pos != end:
             raise RuntimeError("the second pass read other rows than the first")
 
-    parts = written(rows.mapInArrow(cut, SCHEMA.format(kind=kind) + ", whole boolean, at bigint"), ["whole"], name="windows")
+    parts = written(rows.select("split", "k", "t").mapInArrow(cut, SCHEMA.format(kind=kind) + ", whole boolean, at bigint"), ["whole"], name="windows")
     names = ["window_id", "tokens", "text", "doc_ids", "starts", "lengths"]
     whole = parts.where("whole").select(names)
     edge = parts.where("not whole").groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("at", "tokens", "text", "doc_ids", "starts", "lengths"))).alias("p"))
