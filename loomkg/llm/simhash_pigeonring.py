@@ -5,8 +5,8 @@ In scripts that are written without spaces each character counts as a word, and
 what is hashed. Texts too short for a fingerprint are grouped by a hash of their normalised text instead.
 Equal fingerprints collapse first, so a group of thousands of copies costs one row. Candidates agree in
 one key: `key_bits` consecutive bits of a ring, a seeded permutation of the 128 bits; several rings and
-starts are indexed. The number of keys follows from `recall` at `budget` bits of distance and the key
-width from the number of rows, so that buckets stay small at any size. A pair then has to pass the
+starts are indexed. The number of keys follows from `recall` at `budget` bits of distance alone: whether a
+pair is found does not depend on what other rows there are. A pair then has to pass the
 pigeonring test: if the distance is within `budget`, some start of the ring of m segments exists such that
 for each l <= chain the first l segments from there differ in at most l * budget / m bits; pairs without
 such a chain go before the full Hamming check. The test is exact (it loses no pair within the budget).
@@ -34,6 +34,10 @@ SEGMENTS = 16
 CHAIN = 6
 #: Bytes of the hash of a short text.
 EXACT = 20
+#: Bits of a key. More bits mean smaller buckets and more keys; 20 suit up to some 10**10 fingerprints.
+KEY_BITS = 20
+#: Stretches of equal keys up to this length are compared pair by pair, longer ones grow from seeds.
+SMALL = 24
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -122,11 +126,10 @@ def pigeonring(a: np.ndarray, b: np.ndarray, budget: int, chain: int = CHAIN) ->
     return fine.any(1)
 
 
-def key_plan(rows: int, budget: int, recall: float, key_bits: int = 0) -> tuple[int, int]:
-    """(bits of a key, number of keys): independent keys reach `recall` for pairs at the full budget, so for all within it."""
-    bits = key_bits or min(48, max(18, math.ceil(math.log2(max(rows, 2)))))
-    p = math.comb(BITS - budget, bits) / math.comb(BITS, bits)
-    return bits, max(4, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+def key_plan(budget: int, recall: float, key_bits: int = KEY_BITS) -> int:
+    """Number of keys: independent keys reach `recall` for pairs at the full budget, so for all within it."""
+    p = math.comb(BITS - budget, key_bits) / math.comb(BITS, key_bits)
+    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
 def _rings(bits: int, keys: int) -> list[np.ndarray]:
@@ -178,76 +181,125 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray) ->
     return root
 
 
-def similar(prints: DataFrame, rows: int, budget: int, recall: float, key_bits: int = 0, forest: bool = False) -> DataFrame:
+def _near(f: np.ndarray, i: np.ndarray, j: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the pairs i, j are within the budget, their distances): the pigeonring test, then the full check."""
+    at = np.flatnonzero(pigeonring(f[i], f[j], budget))
+    d = distance(f[i[at]], f[j[at]])
+    near = d <= budget
+    return at[near], d[near]
+
+
+def _small(f: np.ndarray, start: np.ndarray, size: np.ndarray, budget: int, forest: bool):  # noqa: ANN202
+    """(i, j, distance) of the near pairs of many short stretches; pairs that differ by s in place are taken at once."""
+    place = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    end = np.repeat(start + size, size)
+    label = np.arange(len(f))
+    for s in range(1, int(size.max())):
+        live = place + s < end
+        place, end = place[live], end[live]
+        for c in range(0, len(place), 1 << 17):
+            i = place[c : c + (1 << 17)]
+            if forest:
+                i = i[label[i] != label[i + s]]
+            at, d = _near(f, i, i + s, budget)
+            if len(at):
+                i = i[at]
+                keep = np.ones(len(i), bool)
+                if forest:
+                    label = _join(label, i, i + s, keep)
+                yield i[keep], i[keep] + s, d[keep]
+
+
+def _long(f: np.ndarray, lo: int, hi: int, budget: int, forest: bool):  # noqa: ANN202
+    """The same of one long stretch. forest: a seed takes in all that are near, these take in more, and so on.
+
+    A stretch of near copies then costs a few passes over it, however long it is.
+    """
+    if not forest:
+        for i in range(lo, hi - 1):
+            for c in range(i + 1, hi, 1 << 17):
+                j = np.arange(c, min(hi, c + (1 << 17)))
+                at, d = _near(f, np.full(len(j), i), j, budget)
+                yield np.full(len(at), i), j[at], d
+        return
+    left = np.arange(lo, hi)
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            rest = []
+            for c in range(0, len(left), 1 << 17):
+                j = left[c : c + (1 << 17)]
+                at, d = _near(f, np.full(len(j), i), j, budget)
+                if len(at):
+                    yield np.full(len(at), i), j[at], d
+                    queue += j[at].tolist()
+                    j = np.delete(j, at)
+                rest.append(j)
+            left = np.concatenate(rest)
+
+
+def _stretches(batches):  # noqa: ANN001, ANN202
+    """(keys, fingerprints) of whole stretches of equal keys from batches sorted by key; a long one is gathered once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        key, f = batch.column(0).to_numpy(), _matrix(batch.column(1))
+        if not len(key):
+            continue
+        last = np.flatnonzero(key != key[-1])
+        cut = int(last[-1]) + 1 if len(last) else 0
+        # what is held has one key; it ends here unless the whole batch goes on with it
+        if held and (cut or held[-1][0][-1] != key[0]):
+            held.append((key[:cut], f[:cut]))
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+        elif cut:
+            yield key[:cut], f[:cut]
+        held.append((key[cut:], f[cut:]))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def similar(prints: DataFrame, budget: int, recall: float, key_bits: int = KEY_BITS, forest: bool = False) -> DataFrame:
     """(a, b, distance) pairs of distinct fingerprints within the budget; prints: (f binary).
 
-    forest: of the pairs that share a key only a spanning forest is compared and given out, which has the same
-    components; a stretch of many near copies then costs about its length instead of its square.
+    forest: of the pairs that share a key only a spanning forest is given out, which has the same components.
+    A task holds the fingerprints of one key at most, 16 bytes each.
     """
     ship(prints.sparkSession)
-    bits, n_keys = key_plan(rows, budget, recall, key_bits)
-    rings = _rings(bits, n_keys)
+    n_keys = key_plan(budget, recall, key_bits)
+    rings = _rings(key_bits, n_keys)
 
     def spread(b: pa.RecordBatch) -> pa.RecordBatch:
         f = _matrix(b.column(0))
-        k = _keys(f, rings)
-        ring = np.tile(np.arange(n_keys, dtype=np.int32), len(f))
+        k = _keys(f, rings) | (np.arange(n_keys, dtype=np.int64) << key_bits)
         again = pa.array(np.repeat(np.arange(len(f)), n_keys))
-        return pa.record_batch([pa.array(ring), pa.array(k.ravel()), b.column(0).take(again)], ["ring", "key", "f"])
+        return pa.record_batch([pa.array(k.ravel()), b.column(0).take(again)], ["key", "f"])
 
-    keyed = arrow_map(prints.select("f"), spread, "ring int, key bigint, f binary")
+    keyed = arrow_map(prints.select("f"), spread, "key bigint, f binary")
 
     def pairs(batches):  # noqa: ANN001, ANN202
-        """Rows come sorted by (ring, key): equal keys are a stretch, which may cross batches."""
-        rest: pa.Table | None = None
-
-        def of(t: pa.Table):  # noqa: ANN202
-            f = _matrix(t.column("f"))
-            ring, key = t.column("ring").to_numpy(), t.column("key").to_numpy()
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ring[1:] != ring[:-1])])
-            size = np.diff(np.r_[starts, len(key)])
-            # shift by s: all pairs whose places in a stretch differ by s
-            group_end = np.repeat(starts + size, size)
-            place = np.arange(len(key))
-            label = np.arange(len(key))
-            for s in range(1, int(size.max()) if len(size) else 0):
-                i = place[place + s < group_end]
-                for c in range(0, len(i), 1 << 18):
-                    ii = i[c : c + (1 << 18)]
-                    if forest:
-                        ii = ii[label[ii] != label[ii + s]]
-                    jj = ii + s
-                    ok = pigeonring(f[ii], f[jj], budget)
-                    ii, jj = ii[ok], jj[ok]
-                    d = distance(f[ii], f[jj])
-                    near = d <= budget
-                    if forest and near.any():
-                        label = _join(label, ii, jj, near)
-                    if near.any():
-                        yield pa.record_batch([pa.array([f[x].tobytes() for x in ii[near]]), pa.array([f[x].tobytes() for x in jj[near]]), pa.array(d[near].astype(np.int32))], ["a", "b", "distance"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if rest is not None and rest.num_rows:
-                t = pa.concat_tables([rest, t])
-            if not t.num_rows:
-                continue
-            ring, key = t.column("ring").to_numpy(), t.column("key").to_numpy()
-            last = np.flatnonzero((ring != ring[-1]) | (key != key[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from of(t.slice(0, cut))
-            rest = t.slice(cut).combine_chunks()
-        if rest is not None and rest.num_rows:
-            yield from of(rest)
-
-    grouped = keyed.repartition("ring", "key").sortWithinPartitions("ring", "key", "f")
+        for key, f in _stretches(batches):
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            few = (size > 1) & (size <= SMALL)
+            found = [_small(f, start[few], size[few], budget, forest)] if few.any() else []
+            found += [_long(f, a, a + n, budget, forest) for a, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True)]
+            for x in found:
+                for i, j, d in x:
+                    if len(i):
+                        yield pa.record_batch([pa.array([f[p].tobytes() for p in i], pa.binary()), pa.array([f[p].tobytes() for p in j], pa.binary()), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
+
+    grouped = keyed.repartition("key").sortWithinPartitions("key", "f")
     found = grouped.mapInArrow(pairs, "a binary, b binary, distance int")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): least node of each connected component; hooking with pointer jumping, in few rounds."""
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, root): least node of each connected component; hooking with pointer jumping, in few rounds.
+
+    Raises an error if labels still change after `rounds`.
+    """
     both = written(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")), name="edges")
     label = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")).select(F.col("x").alias("node"), "root")
     label = checkpointed(label)
@@ -260,18 +312,19 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if not nxt.where("old <> root").limit(1).count():
             return nxt.select("node", "root")
         label = nxt.select("node", "root")
-    return label
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 18, recall: float = 0.95, min_words: int = 8, key_bits: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 18, recall: float = 0.95, min_words: int = 8, key_bits: int = KEY_BITS) -> DataFrame:
     """(id, duplicate_of, distance) of every document that a lesser id of its group stands for.
 
     A text of fewer than `min_words` words (characters, in scripts without spaces) is grouped with those of the
     same words only, and one without any word with those that differ in white space only. A null or blank text
     and a null id are in no group. Rows that repeat an id
     with texts of different groups belong to the group of its least fingerprint. distance is that between
-    the two fingerprints, which may exceed the budget where a chain of pairs links them. Column names of the
-    input other than the two do not matter; an empty table gives no rows.
+    the two fingerprints, which may exceed the budget where a chain of pairs links them. Very long texts are read
+    whole; a bit whose weights tie is 0, and of ids that tie there is but one. Column names of the input other
+    than the two do not matter; an empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -291,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_doc = written(arrow_map(rows, of, f"k {kind}, f binary", 1).groupBy("k").agg(F.min("f").alias("f")), name="prints")
     prints = written(by_doc.groupBy("f").agg(F.min("k").alias("k")), name="distinct")
     long = prints.where(F.length("f") < EXACT)
-    pairs = similar(long, long.count(), budget, recall, key_bits, forest=True)
+    pairs = similar(long, budget, recall, key_bits, forest=True)
     roots = components(pairs.select("a", "b"))
     # the least id of a component stays
     member = roots.join(prints, roots["node"] == prints["f"]).select("node", "root", "k")
@@ -309,7 +362,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The documents without those that another of their group stands for; rows that repeat an id share its fate."""
+    """The documents without those that another of their group stands for; rows that repeat an id share its fate.
+
+    Nulls, empty, short and very long texts and ties as in `near_duplicates`: rows in no group stay, with all
+    their columns, whatever their names; an empty table stays empty.
+    """
     gone = near_duplicates(docs, id_col, text_col, **params).select(F.col(id_col).alias("__gone"))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 

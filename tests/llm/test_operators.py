@@ -214,9 +214,9 @@ def test_loser_tree_merges_and_compares_no_byte_twice():
     rng = random.Random(2)
     every = [("ab" * rng.randint(0, 40) + "".join(rng.choice("ab") for _ in range(10))).encode() for _ in range(500)]
     runs = [sorted(every[i::7]) for i in range(7)]
-    blobs = [suffix_dedup.encode([(s, 0, 0) for s in r]) for r in runs]
+    blobs = [suffix_dedup.encode([(s, 0, 0, 0) for s in r]) for r in runs]
     assert [s for s, *_ in suffix_dedup.decode(blobs[0])] == runs[0]
-    tree = suffix_dedup.LoserTree([iter([(s, k, 0) for s, k, _, _ in suffix_dedup.decode(b)]) for b in blobs])
+    tree = suffix_dedup.LoserTree([iter([(s, k, 0) for s, k, *_ in suffix_dedup.decode(b)]) for b in blobs])
     out = [(s, k) for s, k, _ in tree]
     assert [s for s, _ in out] == sorted(every)
     for (a, _), (b, k) in zip(out, out[1:], strict=False):
@@ -225,6 +225,37 @@ def test_loser_tree_merges_and_compares_no_byte_twice():
     assert tree.compared <= sum(map(len, every))
 
 
+def test_merge_gives_each_suffix_its_longest_match_with_another_id():
+    rng = random.Random(23)
+    for _ in range(30):
+        entries = []
+        for p in range(60):
+            words = ["a", "b", "c"] + [rng.choice("xy") for _ in range(rng.randint(0, 5))]
+            entries.append((" ".join(words[rng.randint(0, 1) :] + [""]).encode(), rng.randint(0, 5), p))
+        runs = []
+        for part in (entries[0::3], entries[1::3], entries[2::3]):
+            runs.append((suffix_dedup.encode([(s, d, p, 0) for s, d, p in sorted(part)]), list(range(6))))
+        words = [s.decode().split() for s, _, _ in entries]
+
+        def match(i, j, words=words):
+            return next((n for n, (x, y) in enumerate(zip(words[i], words[j], strict=False)) if x != y), min(len(words[i]), len(words[j])))
+
+        want = set()
+        for i, (_, d, p) in enumerate(entries):
+            best = max((match(i, j) for j, e in enumerate(entries) if e[1] != d), default=0)
+            if best >= 3:
+                want.add((d, p, best, 0))
+        assert set(suffix_dedup.merged(runs, 3)) == want
+
+
+def test_a_passage_in_very_many_documents_waits_for_nothing():
+    n = 200_000
+    blob = suffix_dedup.encode([(b"w " * 40, i, 0, 0) for i in range(n)])
+    it = suffix_dedup.merged([(blob, list(range(n)))], 35)
+    assert next(it) == (0, 0, 40, 0)
+    assert sum(1 for _ in it) == n - 1
+
+
 # toxicity --------------------------------------------------------------------------------------------------
 
 
@@ -374,27 +405,51 @@ def test_simhash_recall_against_brute_force(spark):
     d = simhash_pigeonring._ONES[f[:, None, :] ^ f[None, :, :]].sum(2)
     want = {tuple(sorted((f[i].tobytes(), f[j].tobytes()))) for i, j in zip(*np.nonzero(d <= 18), strict=True) if i < j}
     frame_ = spark.createDataFrame([(bytearray(x.tobytes()),) for x in f], "f binary")
-    got = {(bytes(r.a), bytes(r.b)) for r in simhash_pigeonring.similar(frame_, len(f), 18, 0.95).collect()}
+    got = {(bytes(r.a), bytes(r.b)) for r in simhash_pigeonring.similar(frame_, 18, 0.95).collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
     more = np.stack([np.packbits(np.r_[np.unpackbits(base[0])[:110], rng.integers(0, 2, 18)].astype(np.uint8)) for _ in range(300)])
     every = spark.createDataFrame([(bytearray(x.tobytes()),) for x in np.unique(np.concatenate([f, more]), axis=0)], "f binary").cache()
-    whole, forest = (simhash_pigeonring.similar(every, 1000, 18, 0.95, forest=x).cache() for x in (False, True))
+    whole, forest = (simhash_pigeonring.similar(every, 18, 0.95, forest=x).cache() for x in (False, True))
     roots = [{bytes(r.node): bytes(r.root) for r in simhash_pigeonring.components(x.select("a", "b")).collect()} for x in (whole, forest)]
     assert roots[0] == roots[1] and forest.count() < whole.count() / 2
 
 
-@pytest.mark.parametrize("rows", [1000, 262_144, 10_000_000])
 @pytest.mark.parametrize("apart", [14, 16, 18])
-def test_simhash_recall_holds_at_every_distance_and_size(rows, apart):
+def test_simhash_recall_holds_at_every_distance(apart):
     rng = np.random.default_rng(apart)
     bits = rng.integers(0, 2, (4000, 128), dtype=np.uint8)
     other = bits.copy()
     other[np.arange(4000)[:, None], rng.random((4000, 128)).argsort(1)[:, :apart]] ^= 1
-    rings = simhash_pigeonring._rings(*simhash_pigeonring.key_plan(rows, 18, 0.95))
+    rings = simhash_pigeonring._rings(simhash_pigeonring.KEY_BITS, simhash_pigeonring.key_plan(18, 0.95))
     x, y = (simhash_pigeonring._keys(np.packbits(b, axis=1, bitorder="little"), rings) for b in (bits, other))
     assert (x == y).any(1).mean() >= 0.94
 
 
+def test_long_stretches_of_equal_keys_cost_a_few_passes(monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2, 128)
+    # 100,000 distinct fingerprints within 18 bits of one another or so, and a few far from them
+    bits = np.repeat(base[None], 100_000, axis=0)
+    bits[np.arange(100_000)[:, None], rng.integers(0, 128, (100_000, 6))] ^= 1
+    f = np.unique(np.packbits(np.concatenate([bits, rng.integers(0, 2, (5, 128))]).astype(np.uint8), axis=1), axis=0)
+    seen = []
+    whole = simhash_pigeonring._near
+    monkeypatch.setattr(simhash_pigeonring, "_near", lambda *a: seen.append(len(a[1])) or whole(*a))
+    got = [np.stack([i, j]) for i, j, _ in simhash_pigeonring._long(f, 0, len(f), 18, True)]
+    assert sum(x.shape[1] for x in got) == len(f) - 6 and sum(seen) < 20 * len(f)
+
+
+def test_stretches_cross_batches():
+    rng = random.Random(3)
+    key = np.sort(np.array([rng.choice([1, 2, 2, 2, 2, 5, 9, 9, 9]) for _ in range(300)]))
+    rows = pa.table({"key": key, "f": [bytes([i % 256, i // 256] + [0] * 14) for i in range(300)]})
+    for step in (1, 7, 64, 300):
+        out = list(simhash_pigeonring._stretches(rows.to_batches(step)))
+        assert np.concatenate([k for k, _ in out]).tolist() == key.tolist()
+        assert np.concatenate([f for _, f in out])[:, 0].tolist() == [i % 256 for i in range(300)]
+        assert all(a[-1] != b[0] for (a, _), (b, _) in zip(out, out[1:], strict=False))
+
+
 def test_fingerprints_do_not_depend_on_the_batch():
     texts = [prose(50) for _ in range(300)]
     f, _ = simhash_pigeonring.fingerprints(pa.array(texts))
@@ -558,6 +613,20 @@ def test_license_scan_reports_every_license_line_of_the_fixture():
 # packing ---------------------------------------------------------------------------------------------------
 
 
+def test_packing_totals_follow_splits_not_rows(spark, tmp_path):
+    rng = random.Random(41)
+    docs = frame(spark, [prose(rng.randint(1, 20), rng) for _ in range(4000)])
+    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "d"))
+    some = spark.read.parquet(str(tmp_path / "d")).where("doc_id % 2 = 1")
+    assert len(packing._totals(packing._placed(some, "doc_id", "text"))) <= 3
+    rows = sorted(packing.pack(some, 64).collect())
+    want = [t for r in some.orderBy("doc_id").collect() for t in r.text.split()]
+    assert [t for r in rows for t in r.text.split(" ")] == want and [r.window_id for r in rows] == list(range(len(rows)))
+    # behind a shuffle a split has no order of its own: documents then follow one another by id
+    mixed = sorted(packing.pack(some.repartition(5), 64).collect())
+    assert [t for r in mixed for t in r.text.split(" ")] == want
+
+
 def test_packing_round_trip(spark, odd, empty, tmp_path):
     rng = random.Random(12)
     texts = [prose(rng.randint(0, 300), rng) for _ in range(200)] + [None, ""]
@@ -612,20 +681,37 @@ def test_automaton_longest_matches_by_brute_force():
 def test_decontaminate_removes_items_and_nothing_else(spark, odd, empty, items):
     item = items.where("item_id = 0").first().text
     a, b = prose(40), prose(50)
-    texts = [f"{a}. {item.upper()}, {b}", f"{a} {b}", item, f"{a} {' '.join(item.split()[:7])} {b}", f"{a} {' '.join(item.split()[3:20])} {b}", None, "short one"]
+    texts = [f"{a}. {item.upper()}, {b}", f"{a} {b}", item, f"{a} {' '.join(item.split()[:7])} {b}", f"{a} {' '.join(item.split()[3:20])} {b}", None, "short one", f"{a}\nSHORT one.\n{b} short one"]
     d = frame(spark, texts)
     out = {r.doc_id: r for r in decontaminate.decontaminate(d, items).collect()}
     assert out[0].leaked and item.split()[9].upper() not in out[0].text and a in out[0].text and b in out[0].text and out[0].longest_match == 30
-    assert [out[i].leaked for i in range(7)] == [True, False, True, False, True, False, False]
+    assert [out[i].leaked for i in range(8)] == [True, False, True, False, True, False, True, True]
+    # an item of two words goes where it is a line of its own, and nowhere else
+    assert out[7].text == f"{a}\n.\n{b} short one" and out[7].removed_words == 2 and out[6].drop
     assert out[2].drop and not out[0].drop and out[5].text is None and out[1].text == texts[1]
     kept = decontaminate.clean_documents(d, items, length_col="n_chars")
-    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {0, 1, 3, 4, 5, 6}
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {0, 1, 3, 4, 5, 7}
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept.collect())
     assert decontaminate.decontaminate(odd, items).where("leaked").count() == 0
     assert decontaminate.decontaminate(empty, items).count() == 0 and decontaminate.clean_documents(empty, items).count() == 0
     assert decontaminate.decontaminate(d, items.limit(0)).where("leaked").count() == 0
     small = decontaminate.decontaminate(d, items, part_words=5)
-    assert {r.doc_id for r in small.where("leaked").collect()} == {0, 2, 4}
+    assert {r.doc_id for r in small.where("leaked").collect()} == {0, 2, 4, 6, 7}
+
+
+def test_decontaminate_in_groups_of_parts_gives_the_same(spark, monkeypatch):
+    rng = random.Random(29)
+    notes = [prose(rng.randint(1, 40), rng) for _ in range(12)]
+    items = spark.createDataFrame([(i, x) for i, x in enumerate(notes)], "item_id bigint, text string")
+    texts = [" ".join([prose(rng.randint(0, 30), rng), *rng.sample(notes, rng.randint(0, 3)), prose(5, rng)]) for _ in range(40)] + [None, "", notes[0] + "\n" + notes[1]]
+    d = frame(spark, texts)
+    want = sorted(decontaminate.decontaminate(d, items).collect())
+    kept = sorted(decontaminate.clean_documents(d, items, length_col="n_chars").collect())
+    assert any(r.leaked for r in want)
+    monkeypatch.setattr(decontaminate, "HELD", 2)
+    assert len(decontaminate.automata(items, part_words=40)) > 4
+    assert sorted(decontaminate.decontaminate(d, items, part_words=40).collect()) == want
+    assert sorted(decontaminate.clean_documents(d, items, length_col="n_chars", part_words=40).collect()) == kept
 
 
 # upper and lower case --------------------------------------------------------------------------------------
