@@ -138,8 +138,11 @@ def leiden(edges: DataFrame, resolution: float = 1.0, direction: str = "both", m
     return in_one_task(edges, solve, "node string, community_id bigint, modularity double")
 
 
-def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community_id): weighted label propagation with least-label ties; for graphs beyond one task."""
+def label_communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, community_id): weighted label propagation with least-label ties; for graphs beyond one task.
+
+    Labels only ever fall, so it ends; an error if they still fall after `rounds`.
+    """
     from loomkg.common import checkpointed
     from loomkg.operators.edges import dense_index, nodes
 
@@ -152,6 +155,8 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         if joined.where("label <> nxt").isEmpty():
             break
         now = joined.select("node", F.col("nxt").alias("label"))
+    else:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
     ids = dense_index(now.select("label").distinct(), ["label"], "community_id")
     return now.join(ids, "label").select("node", "community_id")
 

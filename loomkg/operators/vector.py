@@ -127,11 +127,19 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
                             d[r, at[name]] = np.inf
                 n0 = len(ids)
                 ids += own
-                d = np.concatenate([best_d, d], axis=1)
+                # equal after rounding is a tie, which the lesser id wins
+                d = np.round(np.concatenate([best_d, d], axis=1), 9)
                 i = np.concatenate([best_i, np.broadcast_to(np.arange(n0, len(ids)), (len(q), len(own)))], axis=1)
-                keep = min(k + 8, d.shape[1])
-                part = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-                best_d, best_i = np.take_along_axis(d, part, 1), np.take_along_axis(i, part, 1)
+                if d.shape[1] > k:
+                    order = np.empty(len(ids), np.int64)
+                    order[sorted(range(len(ids)), key=lambda z: (ids[z] is not None, ids[z]))] = np.arange(len(ids))
+                    part = np.argpartition(d, k - 1, axis=1)[:, :k]
+                    worst = np.take_along_axis(d, part, 1).max(1)
+                    for r in np.flatnonzero((d <= worst[:, None]).sum(1) > k).tolist():
+                        at = np.flatnonzero(d[r] <= worst[r])
+                        part[r] = at[np.lexsort((order[i[r, at]], d[r, at]))[:k]]
+                    d, i = np.take_along_axis(d, part, 1), np.take_along_axis(i, part, 1)
+                best_d, best_i = d, i
                 live = np.unique(best_i)
                 ids = [ids[z] for z in live]
                 best_i = np.searchsorted(live, best_i)
@@ -210,13 +218,26 @@ class VectorIndex:
                 raise ValueError(f"unknown parameter: {o}")
         if "dimensions" not in options:
             raise ValueError("dimensions is required")
-        return cls(spark, path, **options)
+        index = cls(spark, path, **options)
+        index._save_config()
+        return index
+
+    def _save_config(self) -> None:
+        row = (self.dimensions, self.metric, self.m, self.ef_construction, self.cells)
+        self.spark.createDataFrame([row], "dimensions int, metric string, m int, ef_construction int, cells int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/config")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
         c = spark.read.parquet(f"{path}/config").first()
         index = cls(spark, path, c.dimensions, c.metric, c.m, c.ef_construction, c.cells)
-        index.centroids = np.array([r.centroid for r in spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()])
+        try:
+            rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+        except AnalysisException as e:
+            # nothing was inserted yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return index
+        index.centroids = np.array([r.centroid for r in rows])
         return index
 
     def _vectors(self) -> DataFrame | None:
@@ -258,7 +279,6 @@ class VectorIndex:
         self.centroids = c
         spark = self.spark
         spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(c)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centroids")
-        spark.createDataFrame([(self.dimensions, self.metric, self.m, self.ef_construction, self.cells)], "dimensions int, metric string, m int, ef_construction int, cells int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/config")
 
     def insert(self, vectors: DataFrame) -> int:
         """Append (id, vector); null ids continue after the largest; duplicates and wrong dimensions are errors. Gives the count."""

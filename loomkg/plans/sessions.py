@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Price per million billable tokens by family; the roll-up prices unknown models as the dearest.
-RATES = {"opus": 15.0, "sonnet": 3.0, "haiku": 0.8}
+RATES = {"opus": 15.0, "sonnet": 3.0, "haiku": 1.0}
 GRAINS = {"hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month"}
-_ASSIGN = re.compile(r"^[A-Za-z_]\w*=\S*$")
-_WRAPPERS = {"sudo", "time", "env", "nohup", "exec", "command", "xargs"}
+_ASSIGN = r"[\p{L}_][\p{L}\p{N}_]*=\S*"
+_WRAPPERS = "sudo|time|nohup|exec|xargs|env|command"
+_UNWRAP = "if|elif|then|else|do|while|until"
+_REJECT = "for|case|in|done|fi|esac"
+_TAKES_VALUE = ["-C", "-f", "-I", "-j", "-l", "-o", "-W"]
+_BLOCKS = "struct<content: array<struct<type: string, name: string, text: string, input: struct<skill: string, subagent_type: string, command: string>>>>"
 
 
 def rate(model: Column, unknown: float | None = 0.0) -> Column:
@@ -31,39 +33,88 @@ def cost(model: Column, tokens: Column, unknown: float | None = 0.0) -> Column:
 
 
 def message_kind(kind: Column, is_meta: Column, block: Column, text: Column) -> Column:
-    """One of nine kinds from the event's type, its meta flag and the type of its first block."""
+    """One of nine kinds from the event's type, its meta flag, the type of its first block and its text.
+
+    block is "string" where the content is a plain string instead of a list of blocks.
+    """
     return (
-        F.when(kind == "summary", "summary")
-        .when(kind == "system", "system")
-        .when((kind == "user") & F.coalesce(is_meta, F.lit(False)), "meta")
+        F.when((kind == "user") & F.coalesce(is_meta, F.lit(False)), "meta")
+        .when((kind == "user") & (block == "string") & F.coalesce(text.rlike(r"^\s*<task-notification>"), F.lit(False)), "task_notification")
+        .when((kind == "user") & (block == "string"), "human")
         .when((kind == "user") & (block == "tool_result"), "tool_result")
-        .when((kind == "user") & text.startswith("<command"), "command")
         .when(kind == "user", "user_text")
-        .when((kind == "assistant") & (block == "tool_use"), "tool_use")
         .when((kind == "assistant") & (block == "thinking"), "thinking")
+        .when((kind == "assistant") & (block == "tool_use"), "tool_use")
         .when(kind == "assistant", "assistant_text")
         .otherwise("other")
     )
 
 
-def shell_commands(line: str) -> list[str]:
-    """Program names of a shell line: split at pipes, and-lists, or-lists and semicolons; assignments and wrappers skipped."""
-    out = []
-    for part in re.split(r"\|\||&&|[|;\n]", line or ""):
-        for word in part.split():
-            if _ASSIGN.match(word) or word in _WRAPPERS:
-                continue
-            out.append(word.rsplit("/", 1)[-1])
-            break
-    return out
+def shell_segments(line: Column) -> Column:
+    """(head, rest) of every command of a shell line: assignments, wrappers with their flags and control words skipped."""
+
+    def head_and_rest(segment: Column) -> Column:
+        words = F.concat(F.regexp_replace(F.trim(F.regexp_replace(segment, r"\s+", " ")), r"\s+", " "), F.lit(" "))
+        rejected = words.rlike(rf"^(?:{_ASSIGN} )*+(?:(?:{_UNWRAP}) )*+(?:{_REJECT}) ")
+        bare = F.regexp_replace(words, rf"^(?:{_ASSIGN} )*+(?:(?:{_UNWRAP}) )*+(?:(?:{_WRAPPERS}) (?:-\S* )*+(?:{_ASSIGN} )*+)*+", "")
+        tokens = F.filter(F.split(bare, " "), lambda w: w != "")
+        first = F.element_at(F.split(F.regexp_replace(F.get(tokens, F.lit(0)), r"^\(+", ""), "/"), -1)
+        head = F.regexp_replace(first, r"[();&]+$", "")
+        return F.when(~rejected & head.rlike(r"[\p{L}\p{N}]"), F.struct(head.alias("head"), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("rest")))
+
+    return F.filter(F.transform(F.split(F.coalesce(line, F.lit("")), r"\|\||&&|;|\|"), head_and_rest), lambda x: x.isNotNull())
+
+
+def make_targets(rest: Column) -> Column:
+    """Targets among the words behind `make`: flags with their values, assignments and redirections skipped."""
+
+    def step(state: Column, word: Column) -> Column:
+        passed = word.startswith("-") | word.rlike(rf"^{_ASSIGN}$") | word.rlike(r"^(?:[<>&]|\d[<>])")
+        return F.struct(
+            (~state["skip"] & word.isin(_TAKES_VALUE)).alias("skip"),
+            F.when(state["skip"] | passed, state["out"]).otherwise(F.concat(state["out"], F.array(word))).alias("out"),
+        )
+
+    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(rest, start, step, lambda x: x["out"])
 
 
 def cli_calls(events: DataFrame, id_col: str, line_col: str) -> DataFrame:
     """(id, position, call) of every program in a shell line."""
-    parts = F.split(F.coalesce(F.col(line_col), F.lit("")), r"\|\||&&|[|;\n]")
-    words = F.transform(parts, lambda p: F.filter(F.split(F.trim(p), r"\s+"), lambda w: (w != "") & ~w.rlike(r"^[A-Za-z_]\w*=\S*$") & ~w.isin(sorted(_WRAPPERS))))
-    heads = F.transform(F.filter(words, lambda w: F.size(w) > 0), lambda w: F.element_at(F.split(F.get(w, F.lit(0)), "/"), -1))
-    return events.select(F.col(id_col), F.posexplode(heads).alias("position", "call"))
+    return events.select(F.col(id_col), F.posexplode(F.transform(shell_segments(F.col(line_col)), lambda x: x["head"])).alias("position", "call"))
+
+
+def event_calls(events: DataFrame, id_col: str, message_col: str) -> DataFrame:
+    """(id, ord, call_type, call_name) of the calls in the blocks of a message in JSON; ord is the block's place.
+
+    Types: tool, skill, subagent, cli and make_target from tool_use blocks, rule from reminders in text blocks.
+    """
+
+    def call(kind: str, name: Column) -> Column:
+        return F.struct(F.lit(kind).alias("call_type"), name.alias("call_name"))
+
+    def calls(block: Column) -> Column:
+        name, given = block["name"], block["input"]
+        skill, agent = F.trim(F.coalesce(given["skill"], F.lit(""))), F.trim(F.coalesce(given["subagent_type"], F.lit("")))
+        tool = F.array(call("tool", name))
+        shell = F.flatten(
+            F.transform(
+                shell_segments(given["command"]),
+                lambda x: F.concat(F.array(call("cli", x["head"])), F.when(x["head"] == "make", F.transform(make_targets(x["rest"]), lambda m: call("make_target", m))).otherwise(F.array().cast("array<struct<call_type: string, call_name: string>>"))),
+            )
+        )
+        reminders = F.regexp_extract_all(block["text"], F.lit(r"(?s)<system-reminder>(.*?)</system-reminder>"), F.lit(1))
+        rules = F.flatten(F.transform(reminders, lambda r: F.regexp_extract_all(r, F.lit(r"Contents of\s+(/[^\s:'\"]+)"), F.lit(1))))
+        return (
+            F.when((block["type"] == "tool_use") & (name == "Skill") & (skill != ""), F.array(call("skill", skill)))
+            .when((block["type"] == "tool_use") & (name == "Agent") & (agent != ""), F.array(call("subagent", agent)))
+            .when((block["type"] == "tool_use") & (name == "Bash"), F.concat(tool, shell))
+            .when((block["type"] == "tool_use") & (name != ""), tool)
+            .when(block["type"] == "text", F.transform(rules, lambda r: call("rule", r)))
+        )
+
+    blocks = events.select(F.col(id_col), F.posexplode(F.from_json(message_col, _BLOCKS)["content"]).alias("ord", "block"))
+    return blocks.select(id_col, "ord", F.explode(calls(F.col("block"))).alias("c")).select(id_col, "ord", "c.call_type", "c.call_name")
 
 
 def parent_edges(events: DataFrame) -> DataFrame:

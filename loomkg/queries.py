@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomkg.common import new_path
 from loomkg.common import table as t
 from loomkg.functions import text as tx
 from loomkg.operators import adjacency, centrality, community, entity_resolution, metrics, node2vec, selector, traverse, vector
@@ -176,11 +177,11 @@ def shortest_path_unweighted(spark, d):  # noqa: ANN001, ANN201
     return traverse.shortest_path(replies(spark, d), "3.0", "3.3")
 
 
-@query(f"""WITH RECURSIVE {TRADE}, p AS (SELECT '0' node, ['0'] path, [0.0::DOUBLE] dist, 0.0::DOUBLE cost UNION ALL SELECT e.dst, list_append(p.path, e.dst), list_append(p.dist, p.cost + e.weight), p.cost + e.weight FROM p JOIN e ON e.src = p.node WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 9 AND p.node <> '17'),
- b AS (SELECT * FROM p WHERE node = '17' ORDER BY round(cost, 4), path LIMIT 1)
+@query(f"""WITH RECURSIVE {TRADE}, p AS (SELECT '0' node, ['0'] path, [0.0::DOUBLE] dist, 0.0::DOUBLE cost UNION ALL SELECT e.dst, list_append(p.path, e.dst), list_append(p.dist, p.cost + e.weight), p.cost + e.weight FROM p JOIN e ON e.src = p.node WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 9 AND p.node <> '21'),
+ b AS (SELECT * FROM p WHERE node = '21' ORDER BY round(cost, 4), path LIMIT 1)
  SELECT unnest(path) AS node, round(unnest(dist), 4) AS distance, (generate_subscripts(path, 1) - 1)::INTEGER AS path_order FROM b""")
 def shortest_path_weighted(spark, d):  # noqa: ANN001, ANN201
-    return traverse.shortest_path(trade(spark, d), "0", "17", weighted=True).select("node", F.round("distance", 4).alias("distance"), "path_order")
+    return traverse.shortest_path(trade(spark, d), "0", "21", weighted=True).select("node", F.round("distance", 4).alias("distance"), "path_order")
 
 
 @query(f"""WITH RECURSIVE {REPLY}, a AS ({_BOTH}), r AS (SELECT src node, src seen FROM a UNION SELECT a.dst, r.seen FROM r JOIN a ON a.src = r.node),
@@ -305,20 +306,20 @@ def _knn_sql(metric: str, k: int, queries: str) -> str:
 
 def _knn(spark: SparkSession, d: str, metric: str, k: int = 10) -> DataFrame:
     v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vector.knn(v, v.where("id < 20").withColumnRenamed("id", "qid"), k, metric).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+    return vector.knn(v, v.where("id % 100 = 0").withColumnRenamed("id", "qid"), k, metric).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
-@query(_knn_sql("l2", 10, "a.vec_id < 20"))
+@query(_knn_sql("l2", 10, "a.vec_id % 100 = 0"))
 def knn_l2(spark, d):  # noqa: ANN001, ANN201
     return _knn(spark, d, "l2")
 
 
-@query(_knn_sql("cosine", 10, "a.vec_id < 20").replace("round(dist, 6)", "round(dist, 6) + 0.0"))
+@query(_knn_sql("cosine", 10, "a.vec_id % 100 = 0").replace("round(dist, 6)", "round(dist, 6) + 0.0"))
 def knn_cosine(spark, d):  # noqa: ANN001, ANN201
     return _knn(spark, d, "cosine")
 
 
-@query(_knn_sql("inner_product", 10, "a.vec_id < 20"))
+@query(_knn_sql("inner_product", 10, "a.vec_id % 100 = 0"))
 def knn_inner_product(spark, d):  # noqa: ANN001, ANN201
     return _knn(spark, d, "inner_product")
 
@@ -350,18 +351,42 @@ def knn_self_join(spark, d):  # noqa: ANN001, ANN201
     return vector.knn(v, v.withColumnRenamed("id", "qid"), 5, "cosine", self_join=True).withColumn("distance", F.round("distance", 6))
 
 
+_SIGNS = "v AS (SELECT vec_id, [sign(embedding[1])::DOUBLE, sign(embedding[2])::DOUBLE] x FROM embeddings)"
+
+
+@query(_knn_sql("l2", 10, "a.vec_id % 100 = 0").replace(_VEC, _SIGNS))
+def knn_ties(spark, d):  # noqa: ANN001, ANN201
+    """Vectors of two signs: nearly all distances tie, and the lesser ids win."""
+    sign = F.transform(F.slice("embedding", 1, 2), lambda x: F.signum(x))
+    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), sign.alias("vector"))
+    return vector.knn(v, v.where("id % 100 = 0").withColumnRenamed("id", "qid"), 10, "l2").withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
+def _index(spark: SparkSession, d: str) -> vector.VectorIndex:
+    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = vector.VectorIndex.create(spark, new_path(spark, "ivf"), dimensions=64, cells=16)
+    index.insert(v)
+    return index
+
+
 @query("SELECT vec_id AS id, embedding AS vector, 0.0::DOUBLE AS distance FROM embeddings WHERE vec_id = 7")
 def knn_point(spark, d):  # noqa: ANN001, ANN201
-    return t(spark, d, "embeddings").where("vec_id = 7").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(0.0).alias("distance"))
+    return _index(spark, d).get(7).select("id", "vector", "distance")
+
+
+@query("SELECT vec_id AS id, embedding AS vector FROM embeddings WHERE vec_id NOT IN (1, 3)")
+def index_insert_delete_scan(spark, d):  # noqa: ANN001, ANN201
+    """Insert all, delete three, insert one of them again, load the index anew and read all that is live."""
+    index = _index(spark, d)
+    index.delete([1, 2, 3])
+    index.insert(t(spark, d, "embeddings").where("vec_id = 2").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return vector.VectorIndex.load(spark, index.path).rows()
 
 
 @query()
 def recall_ivf(spark, d):  # noqa: ANN001, ANN201
-    from loomkg.common import new_path
-
     v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    index = vector.VectorIndex.create(spark, new_path(spark, "ivf"), dimensions=64, cells=16)
-    index.insert(v)
+    index = _index(spark, d)
     q = v.withColumnRenamed("id", "qid")
     return vector.recall_at_k(index.search(q, 10, ef_search=64), vector.knn(v, q, 10, "cosine"))
 
@@ -380,7 +405,7 @@ def jaro_winkler_pairs(spark, d):  # noqa: ANN001, ANN201
 
 
 _ER = f"""{_VEC}, p AS (SELECT a.vec_id q, b.vec_id i, {_DIST['cosine']} dist FROM v a, v b),
- k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dist, 9), i) r FROM p) WHERE r <= 6 AND q <> i AND dist <= 0.4),
+ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dist, 9), i) r FROM p) WHERE r <= 6 AND q <> i AND dist <= 0.65),
  bl AS (SELECT least(q, i) a, greatest(q, i) b, min(dist) dist FROM k GROUP BY 1, 2)"""
 
 
@@ -390,19 +415,28 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ER} SELECT a, b, round(dist, 6) AS dist FROM bl")
 def er_blocking(spark, d):  # noqa: ANN001, ANN201
-    return entity_resolution.blocking(_entities(spark, d), 5, 0.4).select("a", "b", F.round("dist", 6).alias("dist"))
+    return entity_resolution.blocking(_entities(spark, d), 5, 0.65).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
 @query(f"""WITH {_ER}, n AS (SELECT vec_id, 'item ' || label AS "name" FROM embeddings), s AS (SELECT bl.*, x."name" na, y."name" nb, {_PREFIX.format(a='x."name"', b='y."name"')} p FROM bl JOIN n x ON x.vec_id = a JOIN n y ON y.vec_id = b)
  SELECT a, b, round(dist, 6) AS dist, round(CASE WHEN na = nb THEN 1.0 ELSE 0.4 * {_JW.format(a='na', b='nb')} + 0.6 * (1 - dist) END, 6) AS score FROM s""")
 def er_scored_pairs(spark, d):  # noqa: ANN001, ANN201
     e = _entities(spark, d)
-    return entity_resolution.score_pairs(entity_resolution.blocking(e, 5, 0.4), e, 0.4).select("a", "b", F.round("dist", 6).alias("dist"), F.round("score", 6).alias("score"))
+    return entity_resolution.score_pairs(entity_resolution.blocking(e, 5, 0.65), e, 0.4).select("a", "b", F.round("dist", 6).alias("dist"), F.round("score", 6).alias("score"))
 
 
 @query()
 def er_clusters(spark, d):  # noqa: ANN001, ANN201
-    return entity_resolution.resolve(_entities(spark, d), 5, 0.4, 0.4, cluster_by="leiden")
+    return entity_resolution.resolve(_entities(spark, d), 5, 0.65, 0.4, cluster_by="leiden")
+
+
+@query(f"""WITH RECURSIVE {_ER}, n AS (SELECT vec_id, 'item ' || label AS "name" FROM embeddings), s AS (SELECT bl.*, x."name" na, y."name" nb, {_PREFIX.format(a='x."name"', b='y."name"')} p FROM bl JOIN n x ON x.vec_id = a JOIN n y ON y.vec_id = b),
+ m AS (SELECT a, b FROM s WHERE CASE WHEN na = nb THEN 1.0 ELSE 0.4 * {_JW.format(a='na', b='nb')} + 0.6 * (1 - dist) END >= 0.35), g AS (SELECT a x, b y FROM m UNION SELECT b, a FROM m),
+ r AS (SELECT vec_id x, vec_id seen FROM embeddings UNION SELECT g.y, r.seen FROM r JOIN g ON g.x = r.x) SELECT x AS entity_id, min(seen) AS cluster_root FROM r GROUP BY 1""")
+def er_components(spark, d):  # noqa: ANN001, ANN201
+    """Clusters with their singletons, named by their least entity."""
+    found = entity_resolution.resolve(_entities(spark, d), 5, 0.65, 0.4, cluster_by="components")
+    return found.select("entity_id", F.min("entity_id").over(Window.partitionBy("cluster_id")).alias("cluster_root"))
 
 
 @query("""WITH m AS (SELECT p_name AS "name", p_brand AS cluster_id, count(*) n FROM part GROUP BY 1, 2), s AS (SELECT "name", sum(n) n FROM m GROUP BY 1)
@@ -451,21 +485,14 @@ def micro_f1(spark, d):  # noqa: ANN001, ANN201
 _TERMS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-@query(f"""WITH dt AS (SELECT doc_id, {_TERMS.format('text')} w FROM documents), q AS (SELECT item_id qid, unnest(list_distinct(({_TERMS.format('text')})[1:3])) term FROM benchmark),
+@query(f"""WITH dt AS (SELECT doc_id, {_TERMS.format('text')} w FROM documents), q AS (SELECT item_id qid, unnest(list_distinct(({_TERMS.format('text')})[1:20])) term FROM benchmark),
  tf AS (SELECT term, doc_id, count(*) tf, any_value(l) l FROM (SELECT doc_id, len(w) l, unnest(w) term FROM dt) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
  df AS (SELECT term, count(*) df FROM tf GROUP BY 1), st AS (SELECT count(*) n, avg(len(w)) a FROM dt),
  s AS (SELECT qid, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) score, count(*) hits FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)
  SELECT qid, doc_id, round(score, 6) AS score, r::INTEGER AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) r FROM s WHERE hits = (SELECT count(*) FROM q q2 WHERE q2.qid = s.qid)) WHERE r <= 10""")
 def bm25_topk(spark, d):  # noqa: ANN001, ANN201
     q = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return tx.bm25(t(spark, d, "documents"), q, 10, max_terms=3).withColumn("score", F.round("score", 6))
-
-
-@query()
-def bm25_topk_20_terms(spark, d):  # noqa: ANN001, ANN201
-    """With the reference's 20 terms."""
-    q = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return tx.bm25(t(spark, d, "documents"), q, 10, max_terms=20).withColumn("score", F.round("score", 6))
+    return tx.bm25(t(spark, d, "documents"), q, 10).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, len(t), 206)) s FROM w)
@@ -501,6 +528,16 @@ def adjacency_degrees_after_delta(spark, d):  # noqa: ANN001, ANN201
     return x.select("node", F.col("in_degree").cast("bigint").alias("in_degree"), F.col("out_degree").cast("bigint").alias("out_degree"), F.round("weighted_in_degree", 4).alias("weighted_in_degree"), F.round("weighted_out_degree", 4).alias("weighted_out_degree"))
 
 
+@query(ORACLES["adjacency_degrees_after_delta"])
+def adjacency_cache_after_delta(spark, d):  # noqa: ANN001, ANN201
+    """The same degrees from a stored cache that was created, then rebuilt incrementally."""
+    e = t(spark, d, "events").select(F.concat(F.lit("u:"), "user_id").alias("src"), F.col("event_type").alias("dst"), F.col("value").alias("weight"), F.col("event_id").alias("edge_seq"))
+    cache = adjacency.AdjacencyCache.create(spark, new_path(spark, "adjacency"), e)
+    cache.incremental_rebuild(e.where("edge_seq % 10 = 0").select("src", "dst", "weight", F.lit(adjacency.DELETE).alias("op"), F.col("edge_seq").alias("seq")))
+    x = cache.table("degree").where("in_degree + out_degree > 0")
+    return x.select("node", F.col("in_degree").cast("bigint").alias("in_degree"), F.col("out_degree").cast("bigint").alias("out_degree"), F.round("weighted_in_degree", 4).alias("weighted_in_degree"), F.round("weighted_out_degree", 4).alias("weighted_out_degree"))
+
+
 @query("""SELECT g AS granularity, date_trunc(u, ts) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, (VALUES ('hourly', 'hour'), ('daily', 'day'), ('weekly', 'week'), ('monthly', 'month')) v(g, u) GROUP BY 1, 2, 3""")
 def rollup_time_cube(spark, d):  # noqa: ANN001, ANN201
     return sessions.time_cube(t(spark, d, "events"), ["event_type"], "value").withColumn("total", F.round("total", 4))
@@ -523,14 +560,62 @@ def bridge_join(spark, d):  # noqa: ANN001, ANN201
     return sessions.bridge_edges(c.where("ts = 0"), c.where("role = 'assistant'"))
 
 
-@query("SELECT event_id, round(round(value + 5 * user_id, 6) * CASE WHEN event_type LIKE '%c%' THEN 15.0 ELSE 0.0 END / 1e6, 8) AS cost FROM events")
+@query("""SELECT event_id, round(round(value + 5 * user_id, 6) * CASE event_id % 5 WHEN 0 THEN 15.0 WHEN 1 THEN 3.0 WHEN 2 THEN 1.0 ELSE 0.0 END / 1e6, 8) AS cost FROM events""")
 def cost_model(spark, d):  # noqa: ANN001, ANN201
     e = t(spark, d, "events")
-    model = F.when(F.col("event_type").contains("c"), F.lit("opus-x")).otherwise(F.lit("unknown"))
+    kind = F.col("event_id") % 5
+    model = F.when(kind == 0, "big-Opus-4").when(kind == 1, "x-sonnet").when(kind == 2, "HAIKU-mini").when(kind == 3, "unknown")
     b = F.round(sessions.billable(F.col("value"), F.col("user_id"), F.lit(0), F.lit(0)), 6)
     return e.select("event_id", sessions.cost(model, b).alias("cost"))
 
 
+@query("""SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'meta' WHEN 1 THEN 'human' WHEN 2 THEN 'task_notification' WHEN 3 THEN 'tool_result' WHEN 4 THEN 'user_text' WHEN 5 THEN 'thinking'
+ WHEN 6 THEN 'tool_use' WHEN 7 THEN 'assistant_text' ELSE 'other' END AS kind FROM events""")
+def message_kinds(spark, d):  # noqa: ANN001, ANN201
+    rows = [("user", "true", "string", "x"), ("user", "", "string", "hi"), ("user", "false", "string", "\n <task-notification>"), ("user", "", "tool_result", ""), ("user", "", "text", "<command>"), ("assistant", "", "thinking", ""), ("assistant", "", "tool_use", ""), ("assistant", "", "text", ""), ("system", "", "string", ""), ("summary", "", "", "")]
+    given = F.element_at(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("kind", "meta", "block", "text"), r, strict=True)]) for r in rows]), (F.col("event_id") % 10 + 1).cast("int"))
+    e = t(spark, d, "events").select("event_id", given.alias("g"))
+    return e.select("event_id", sessions.message_kind(F.col("g.kind"), F.col("g.meta") == "true", F.col("g.block"), F.col("g.text")).alias("kind"))
+
+
+@query("""WITH v(m, ord, call_type, call_name) AS (VALUES (0, 0, 'tool', 'Bash'), (0, 0, 'cli', 'cd'), (0, 0, 'cli', 'make'), (0, 0, 'make_target', 'all'), (0, 0, 'cli', 'tee'), (1, 0, 'skill', 'pdf'), (1, 1, 'tool', 'Read'), (2, 1, 'subagent', 'plan'), (3, 0, 'rule', '/r/a.md'))
+ SELECT conv_id, turn, ord, call_type, call_name FROM conversations JOIN v ON v.m = turn % 4""")
+def event_calls(spark, d):  # noqa: ANN001, ANN201
+    messages = [
+        '{"content": [{"type": "tool_use", "name": "Bash", "input": {"command": "A=1 cd x && sudo make -j 4 all 2>&1 | tee log"}}]}',
+        '{"content": [{"type": "tool_use", "name": "Skill", "input": {"skill": "pdf"}}, {"type": "tool_use", "name": "Read", "input": {}}]}',
+        '{"content": [{"type": "thinking"}, {"type": "tool_use", "name": "Agent", "input": {"subagent_type": "plan"}}]}',
+        '{"content": [{"type": "text", "text": "<system-reminder>Contents of /r/a.md: x</system-reminder>"}]}',
+    ]
+    c = t(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.element_at(F.array(*[F.lit(m) for m in messages]), (F.col("turn") % 4 + 1).cast("int")).alias("message"))
+    return sessions.event_calls(c, "id", "message").select("id.conv_id", "id.turn", "ord", "call_type", "call_name")
+
+
+@query("SELECT event_id::VARCHAR AS uuid, (event_id - 1)::VARCHAR AS parent_uuid, event_type AS \"type\", user_id AS input_tokens FROM events")
+def jsonl_ingest(spark, d):  # noqa: ANN001, ANN201
+    """Events written as JSON lines, with broken lines among them, and read again."""
+    from loomkg.sources import logs
+
+    e = t(spark, d, "events")
+    whole = F.to_json(F.struct(F.col("event_id").cast("string").alias("uuid"), (F.col("event_id") - 1).cast("string").alias("parentUuid"), F.col("event_type").alias("type"), F.struct(F.struct(F.col("user_id").alias("input_tokens")).alias("usage")).alias("message")))
+    lines = e.select(F.explode(F.when(F.col("event_id") % 50 == 0, F.array(whole, F.lit("{broken"))).otherwise(F.array(whole))).alias("value"))
+    path = new_path(spark, "lines")
+    lines.write.text(path)
+    got = logs.read_events(spark, path)
+    return got.where("broken IS NULL").select("uuid", F.col("parentUuid").alias("parent_uuid"), "type", F.col("message.usage.input_tokens").alias("input_tokens"))
+
+
+@query("""WITH c AS (SELECT g AS granularity, date_trunc(u, ts) AS bucket, event_type, count(*) AS n, sum(value) AS total FROM events, (VALUES ('hourly', 'hour'), ('daily', 'day'), ('weekly', 'week'), ('monthly', 'month')) v(g, u) GROUP BY 1, 2, 3)
+ SELECT granularity, bucket, event_type, n, CASE WHEN granularity = 'daily' THEN round(total, 4) ELSE 0.0 END AS total FROM c""")
+def rollup_range_refresh(spark, d):  # noqa: ANN001, ANN201
+    """A stored cube without totals, of which the days alone are refreshed."""
+    cube = sessions.time_cube(t(spark, d, "events"), ["event_type"], "value").withColumn("total", F.round("total", 4))
+    path = new_path(spark, "cube")
+    sessions.refresh_range(cube.withColumn("total", F.lit(0.0)), path)
+    sessions.refresh_range(cube.where("granularity = 'daily'"), path)
+    return spark.read.parquet(path).select("granularity", "bucket", "event_type", "n", "total")
+
+
 @query(f"""WITH {TRADE}, g AS (SELECT src, dst, sum(weight) weight FROM e WHERE src <> dst GROUP BY 1, 2), dg AS (SELECT src node, sum(weight) c FROM (SELECT src, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY 1),
  s AS (SELECT node FROM dg ORDER BY round(c, 4) DESC, node LIMIT 2), k AS (SELECT node FROM s UNION SELECT dst FROM g JOIN s ON s.node = src UNION SELECT src FROM g JOIN s ON s.node = dst),
  i AS (SELECT * FROM g WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)), c AS (SELECT node FROM (SELECT src node FROM i UNION ALL SELECT dst FROM i) GROUP BY 1 HAVING count(*) >= 2)
@@ -541,12 +626,12 @@ def kg_seed_expand_prune(spark, d):  # noqa: ANN001, ANN201
     return knowledge.seed_expand_prune(e, seeds, 1, 2).withColumn("weight", F.round("weight", 2))
 
 
-@query(f"""WITH {TRADE}, ce AS (SELECT c_custkey chunk_id, c_nationkey::VARCHAR AS "name" FROM customer), s AS (SELECT 1 qid, c_custkey id FROM customer WHERE c_custkey <= 3),
+@query(f"""WITH {TRADE}, ce AS (SELECT c_custkey chunk_id, c_nationkey::VARCHAR AS "name" FROM customer), s AS (SELECT 1 qid, c_custkey id FROM customer WHERE c_custkey % 100 = 0),
  x AS (SELECT DISTINCT qid, "name" node FROM s JOIN ce ON ce.chunk_id = s.id), y AS (SELECT qid, dst node FROM x JOIN e ON e.src = x.node UNION SELECT * FROM x)
  SELECT DISTINCT qid, chunk_id AS id FROM y JOIN ce ON ce."name" = y.node""")
 def graphrag_retrieve(spark, d):  # noqa: ANN001, ANN201
     ce = t(spark, d, "customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_nationkey").cast("string").alias("name"))
-    seeds = ce.where("chunk_id <= 3").select(F.lit(1).alias("qid"), F.col("chunk_id").alias("id"))
+    seeds = ce.where("chunk_id % 100 = 0").select(F.lit(1).alias("qid"), F.col("chunk_id").alias("id"))
     return knowledge.retrieve(seeds, ce, trade(spark, d), 1)
 
 

@@ -124,7 +124,7 @@ def test_bm25_takes_twenty_terms_by_brute_force(spark):
         score = {d: sum(math.log((len(docs) - df[w] + 0.5) / (df[w] + 0.5) + 1) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w in q) for d, c in hits.items()}
         for d in sorted(score, key=lambda d: (-round(score[d], 9), d))[:10]:
             want[r.item_id, d] = score[d]
-    got = {(r.qid, r.doc_id): r.score for r in base.QUERIES["bm25_topk_20_terms"](spark, SF).collect()}
+    got = {(r.qid, r.doc_id): r.score for r in base.QUERIES["bm25_topk"](spark, SF).collect()}
     assert want and set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 2e-6 * max(1, want[k]) for k in want)
 
@@ -209,16 +209,55 @@ def test_plans(spark):
 
 
 def test_shell_commands(spark):
-    line = "FOO=1 sudo /usr/bin/git status | grep x && ls; env A=b make test || true"
-    assert sessions.shell_commands(line) == ["git", "grep", "ls", "make", "true"]
-    d = spark.createDataFrame([(1, line), (2, None)], "id long, line string")
-    assert [r.call for r in sessions.cli_calls(d, "id", "line").orderBy("position").collect()] == ["git", "grep", "ls", "make", "true"]
+    line = "FOO=1 sudo -n /usr/bin/git status | grep x && ls; env A=b make test || true"
+    d = spark.createDataFrame([(1, line), (2, None), (3, "for f in a b; do (cd /tmp); done"), (4, "if nohup ./run.sh; then echo; fi")], "id long, line string")
+    got = {}
+    for r in sessions.cli_calls(d, "id", "line").orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append(r.call)
+    assert got == {1: ["git", "grep", "ls", "make", "true"], 3: ["cd"], 4: ["run.sh", "echo"]}
+
+
+def test_event_calls(spark):
+    import json
+
+    def tool(name, **given):
+        return {"type": "tool_use", "name": name, "input": given}
+
+    content = [
+        tool("Bash", command="cd x && make -j 4 -C sub all CC=gcc --silent test 2>&1 | tee log"), tool("Skill", skill=" pdf "), tool("Skill"), tool("Agent", subagent_type="plan"), tool("Read", file="a"), tool(""),
+        {"type": "text", "text": "a <system-reminder>Contents of /a/b.md: x\nContents of /c.md</system-reminder> Contents of /no.md"}, {"type": "thinking"},
+    ]
+    d = spark.createDataFrame([(1, json.dumps({"content": content})), (2, json.dumps({"content": "plain"})), (3, None)], "id long, message string")
+    got = sorted((r.ord, r.call_type, r.call_name) for r in sessions.event_calls(d, "id", "message").collect())
+    want = [(0, "tool", "Bash"), (0, "cli", "cd"), (0, "cli", "make"), (0, "make_target", "all"), (0, "make_target", "test"), (0, "cli", "tee"), (1, "skill", "pdf"), (2, "tool", "Skill"), (3, "subagent", "plan"), (4, "tool", "Read"), (6, "rule", "/a/b.md"), (6, "rule", "/c.md")]
+    assert got == sorted(want)
 
 
 def test_message_kinds(spark):
-    d = spark.createDataFrame([("user", False, "tool_result", ""), ("user", True, None, ""), ("assistant", None, "tool_use", ""), ("user", None, "text", "<command-name>"), ("odd", None, None, "")], "k string, m boolean, b string, t string")
+    rows = [
+        ("user", False, "tool_result", ""), ("user", True, "string", ""), ("assistant", None, "tool_use", ""), ("user", None, "text", "x"), ("odd", None, None, ""), ("user", None, "string", "hello"),
+        ("user", None, "string", " \n<task-notification>done"), ("assistant", None, "thinking", ""), ("assistant", None, "text", ""), ("system", None, "string", "x"), ("user", None, "string", None),
+    ]
+    d = spark.createDataFrame(rows, "k string, m boolean, b string, t string")
     kinds = [r.x for r in d.select(sessions.message_kind(F.col("k"), F.col("m"), F.col("b"), F.col("t")).alias("x")).collect()]
-    assert kinds == ["tool_result", "meta", "tool_use", "command", "other"]
+    assert kinds == ["tool_result", "meta", "tool_use", "user_text", "other", "human", "task_notification", "thinking", "assistant_text", "other", "human"]
+
+
+def test_knn_breaks_ties_by_id(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(10_000), 3000)
+    v = spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "id long, vector array<float>").repartition(5)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "qid long, vector array<float>")
+    for metric in ("l2", "cosine", "inner_product"):
+        got = {(r.qid, r["rank"]): r.id for r in vector.knn(v, q, 3, metric).collect()}
+        assert got == {(a, n + 1): x for a in (1, 2) for n, x in enumerate(sorted(ids)[:3])}
+
+
+def test_index_is_loaded_before_anything_is_inserted(spark, tmp_path):
+    vector.VectorIndex.create(spark, str(tmp_path / "i"), dimensions=2)
+    index = vector.VectorIndex.load(spark, str(tmp_path / "i"))
+    assert index.dimensions == 2 and index.rows().count() == 0
+    assert index.insert(spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<float>")) == 1
 
 
 def test_logs(spark, tmp_path):
