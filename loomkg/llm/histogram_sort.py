@@ -16,23 +16,51 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomkg.common import ship, written
-from loomkg.llm._run import arrow_map
 
 PROBES = 8
 
 
+def _ordered_bits(x: pa.Array) -> pa.Array:
+    """Numbers that sort as doubles do: -0.0 as 0.0, every NaN above infinity."""
+    v = x.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+    v[np.isnan(v)] = np.nan
+    bits = v.view(np.int64)
+    bits = np.where(np.isnan(v), np.int64(0x7FF8000000000000), bits)
+    return pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits), mask=np.asarray(x.is_null()))
+
+
 def order_key(df: DataFrame, cols: list[str]) -> Column:
-    """Binary key that sorts as the columns do, nulls first: ids big-endian with the sign bit turned, texts as UTF-8 closed by 0."""
+    """Binary key that sorts as the columns do, nulls first.
+
+    Whole numbers, dates and times are big-endian with the sign bit turned, doubles by their ordered bits, decimals
+    digit by digit (complemented below zero), texts as UTF-8 closed by 0 with any 0 inside escaped. Other types
+    have no order here and are an error.
+    """
     parts = []
-    for c in cols:
-        kind = dict(df.dtypes)[c]
-        if kind in ("tinyint", "smallint", "int", "bigint"):
-            v = F.unhex(F.lpad(F.hex(F.col(c).cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    for name in cols:
+        c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
+            # 0, then a byte above all that may follow the closing 0 of a shorter text
+            v = F.concat(F.encode(F.replace(c.cast("string"), F.lit("\0"), F.lit("\0\u00ff")), "utf-8"), F.unhex(F.lit("00")))
+        elif isinstance(kind, T.DecimalType):
+            digits = F.lpad(F.translate(F.format_number(F.abs(c), kind.scale), ",", ""), kind.precision + 2, "0")
+            v = F.encode(F.when(c < 0, F.concat(F.lit("0"), F.translate(digits, "0123456789", "9876543210"))).otherwise(F.concat(F.lit("1"), digits)), "utf-8")
         else:
-            v = F.concat(F.encode(F.translate(F.col(c).cast("string"), "\0", "\1"), "utf-8"), F.unhex(F.lit("00")))
-        parts.append(F.when(F.col(c).isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), v)))
+            if isinstance(kind, (T.DoubleType, T.FloatType)):
+                n = F.arrow_udf(_ordered_bits, "bigint")(c.cast("double"))
+            elif isinstance(kind, T.DateType):
+                n = F.unix_date(c).cast("bigint")
+            elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+                n = F.unix_micros(c.cast("timestamp"))
+            elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+                n = c.cast("bigint")
+            else:
+                raise TypeError(f"{name}: {kind.simpleString()} has no order key")
+            v = F.unhex(F.lpad(F.hex(n.bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+        parts.append(F.when(c.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), v)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
@@ -83,7 +111,7 @@ def arrow_map_raw(df: DataFrame, f, schema: str) -> DataFrame:  # noqa: ANN001
 
 
 def splitters(sizes: DataFrame, shards: int, tolerance: float, rounds: int = 40) -> tuple[list[bytes], list[int]]:
-    """(boundaries, bytes of each shard); sizes: (key, bytes, hash of the key)."""
+    """(boundaries, bytes of each shard); sizes: (key, bytes, hash of the key). An error if `rounds` do not suffice."""
     bounds: list[bytes] = []
     n, samples = _histogram(sizes, bounds, [True])
     total = sum(n)
@@ -114,6 +142,8 @@ def splitters(sizes: DataFrame, shards: int, tolerance: float, rounds: int = 40)
         for i in range(len(bounds) + 1):
             below_wanted[i] = (edges[i], edges[i + 1]) not in stuck
         n, samples = _histogram(sizes, bounds, below_wanted)
+    else:
+        raise RuntimeError(f"boundaries still move after {rounds} rounds")
     below = np.cumsum(n)[:-1] if bounds else np.zeros(0, np.int64)
     out = sorted({bounds[min((j for j in (int(np.searchsorted(below, t)) - 1, int(np.searchsorted(below, t))) if 0 <= j < len(below)), key=lambda j: abs(int(below[j]) - t))] for t in targets if len(below)})
     at = [bounds.index(b) for b in out]
@@ -125,12 +155,13 @@ def shard(docs: DataFrame, keys: list[str], text_col: str = "text", shard_bytes:
     """The rows in shards of about `shard_bytes` bytes of text, sorted by `keys` within and across shards.
 
     Each shard is one partition. Rows with equal keys share a shard, so a shard may exceed the tolerance by the
-    bytes of one key; null texts count no bytes, null keys sort first, repeated rows stay together. A column
-    already named as the shard column is replaced; an empty table gives no rows.
+    bytes of one key; null and empty texts count no bytes, null keys sort first, rows with tied keys and repeated
+    rows stay together in any order, and a very long text is one row of its shard. A column already named as the
+    shard column is replaced, others pass whatever their names; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     key = order_key(docs, keys)
-    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("bigint")
+    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("bigint")
     sizes = written(docs.select(key.alias("k"), size.alias("n")).select("k", "n", F.xxhash64("k").alias("h")), name="sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, round(total / shard_bytes))
@@ -145,5 +176,3 @@ def shard(docs: DataFrame, keys: list[str], text_col: str = "text", shard_bytes:
     rows = rows.withColumn("__key", key).withColumn(shard_col, place("__key"))
     return rows.repartitionById(len(bounds) + 1, F.col(shard_col)).sortWithinPartitions("__key").drop("__key")
 
-
-_ = arrow_map
