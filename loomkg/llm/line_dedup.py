@@ -13,11 +13,13 @@ Rows equal in id and text are one document and share its result. Other columns p
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomkg.common import new_path, shuffle_partitions
 
@@ -31,8 +33,8 @@ def _lines(text: Column) -> Column:
 
 def _first_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2, id, text hash, line number) of the first place of each line of these documents."""
-    text = F.col(text_col).cast("string")
-    at = docs.where(text.isNotNull()).select(F.col(id_col).alias("__k"), F.xxhash64(text).alias("__t"), F.posexplode(_lines(text)).alias("__n", "__line"))
+    text = F.col(f"`{text_col}`").cast("string")
+    at = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").alias("__k"), F.xxhash64(text).alias("__t"), F.posexplode(_lines(text)).alias("__n", "__line"))
     line = F.trim("__line")
     rows = at.where(line != "").select(F.xxhash64(line).alias("__h1"), F.xxhash64(line, F.lit(1)).alias("__h2"), *_AT)
     # equal (id, text) rows repeat a place: the minimum keeps one
@@ -108,28 +110,39 @@ def _batches(docs: DataFrame, id_col: str, batches: int) -> list[DataFrame]:
     """Ascending ranges of the id, of about equal row counts; nulls are in the first."""
     if batches <= 1:
         return [docs]
-    numeric = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint", "float", "double")
-    if not numeric:
-        return [docs]
-    cuts = docs.agg(F.percentile_approx(F.col(id_col), [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"]
+    k, kind = F.col(f"`{id_col}`"), docs.schema[id_col].dataType
+    if isinstance(kind, T.BooleanType):
+        k = k.cast("int")
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        # seven bytes behind the prefix that all ids share, as a number: it rises with the id
+        raw = k.cast("binary")
+        ends = docs.agg(F.min(raw).alias("a"), F.max(raw).alias("b")).first()
+        shared = os.path.commonprefix([bytes(ends.a or b""), bytes(ends.b or b"")])
+        k = F.conv(F.rpad(F.hex(F.substring(raw, len(shared) + 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    cuts = docs.agg(F.percentile_approx(k, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
     if not cuts:
         return [docs]
-    k = F.col(id_col)
     out = [docs.where(k.isNull() | (k < cuts[0]))]
     out += [docs.where((k >= a) & (k < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
     return [*out, docs.where(k >= cuts[-1])]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 4, fanout: int = 3, length_col: str | None = None) -> DataFrame:
-    """The documents with the first place of each line only; `length_col` is set to the new length."""
+    """The documents with the first place of each line only; `length_col` is set to the new length.
+
+    The first place is that of the least id (a null id comes first), then of the first line; of tied ids with
+    different texts it is the text of the least hash. Blank lines stay. Null, empty and blank texts stay as they
+    are; a document left without lines goes; rows that repeat id and text share their fate; very long texts are
+    read whole; other columns pass untouched, whatever their names; an empty table stays empty.
+    """
     spark = docs.sparkSession
     runs = LineRuns(spark, fanout=fanout)
     for batch in _batches(docs, id_col, batches):
-        runs.add(batch.select(id_col, text_col), id_col, text_col)
+        runs.add(batch.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t")), "k", "t")
     kept = runs.kept().groupBy("__k", "__t").agg(F.collect_list("__n").alias("__kept"))
-    text = F.col(f"__d.{text_col}").cast("string")
-    joined = docs.alias("__d").join(kept.alias("__r"), F.col(f"__d.{id_col}").eqNullSafe(F.col("__r.__k")) & (F.xxhash64(text) == F.col("__r.__t")), "left")
+    text = F.col(f"__d.`{text_col}`").cast("string")
+    joined = docs.alias("__d").join(kept.alias("__r"), F.col(f"__d.`{id_col}`").eqNullSafe(F.col("__r.__k")) & (F.xxhash64(text) == F.col("__r.__t")), "left")
     # split once: a lambda over an expression would split for every line
     joined = joined.withColumn("__lines", _lines(text)).withColumn("__kept", F.col("__r.__kept"))
     lines = F.col("__lines")
