@@ -67,6 +67,8 @@ class OrdinalModel:
 def fit(docs: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 150, rate: float = 0.03, l2: float = 1e-5) -> OrdinalModel:
     """Maximum likelihood by Adam over all rows; thresholds are a first one plus positive gaps, so stay ordered.
 
+    Only weights of features that occur are moved; the others stay 0, where their penalty holds them.
+
     docs, idx, val: the sparse features (val is the share of the text's features); grade: 0..grades - 1 of each text.
     """
     n, k = len(grade), grades - 1
@@ -74,13 +76,15 @@ def fit(docs: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.ndarray, g
     if n:
         share = np.clip([(grade >= g + 1).mean() for g in range(k)], 1e-3, 1 - 1e-3)
         theta = np.maximum.accumulate(np.log((1 - share) / share)) + 1e-3 * np.arange(k)
-    w = np.zeros(1 << BITS)
+    seen, idx = np.unique(idx, return_inverse=True)
+    size = len(seen)
+    w = np.zeros(size)
     gap = np.log(np.maximum(np.diff(theta), 1e-3))
     par = np.concatenate([w, theta[:1], gap])
     m, v = np.zeros_like(par), np.zeros_like(par)
     val = val * SCALE
     for t in range(1, rounds + 1 if n and k else 1):
-        w, first, gap = par[: 1 << BITS], par[1 << BITS : (1 << BITS) + 1], par[(1 << BITS) + 1 :]
+        w, first, gap = par[:size], par[size : size + 1], par[size + 1 :]
         theta = np.cumsum(np.r_[first, np.exp(gap)])
         z = np.bincount(docs, w[idx] * val, n)
         edge = np.concatenate([np.full((n, 1), -40.0), np.clip(theta[None, :] - z[:, None], -39, 39), np.full((n, 1), 40.0)], axis=1)
@@ -92,10 +96,12 @@ def fit(docs: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.ndarray, g
         dz = (d_hi - d_lo) / n
         d_theta = np.array([-(d_hi[grade == j].sum() - d_lo[grade == j + 1].sum()) / n for j in range(k)])
         tail = np.cumsum(d_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(idx, dz[docs] * val, 1 << BITS) + l2 * w, tail[:1], tail[1:] * np.exp(gap)])
+        g = np.concatenate([np.bincount(idx, dz[docs] * val, size) + l2 * w, tail[:1], tail[1:] * np.exp(gap)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         par = par - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return OrdinalModel(par[: 1 << BITS].astype(np.float32), np.cumsum(np.r_[par[1 << BITS : (1 << BITS) + 1], np.exp(par[(1 << BITS) + 1 :])]) if k else np.zeros(0))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[seen] = par[:size]
+    return OrdinalModel(weights, np.cumsum(np.r_[par[size : size + 1], np.exp(par[size + 1 :])]) if k else np.zeros(0))
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", rating_col: str = "rating", grades: int = 3, max_train: int = 8000) -> OrdinalModel:
@@ -124,7 +130,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     """(id, expected_grade, tail_probability, keep) for every row, in one narrow pass; keep: P(grade >= tail) >= least.
 
     A null or empty text has score 0, so the thresholds alone decide; a null id stays null; repeated rows are each
-    scored; other columns are not read, whatever their names; an empty table gives no rows.
+    scored; a tie with `least` is kept; very long texts are read whole; other columns are not read, whatever their names; an empty table gives no rows.
     """
     wide = docs.sparkSession.sparkContext.broadcast(model)
 
