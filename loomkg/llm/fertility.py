@@ -131,7 +131,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Entropy is compared per bit of the logarithm of the token count, as it grows with length. A null or empty
     text has no tokens and is kept as too short; a null language falls back to the script; a null id stays
-    null; repeated rows are each judged; other columns are not read; an empty table gives no rows.
+    null; repeated rows are each judged; a value that ties with the edge of its band is kept; very long texts are
+    measured whole; other columns are not read; an empty table gives no rows.
     """
     rows = written(measured(docs, id_col, text_col, lang_col, vocabulary), name="fertility")
     values = {
