@@ -1,6 +1,7 @@
 """Vectors, text, entity resolution, models, plans, logs, streams, SQL surface, and all queries against their SQL."""
 
 import json
+import random
 
 import numpy as np
 import pytest
