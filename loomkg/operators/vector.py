@@ -127,17 +127,18 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
                             d[r, at[name]] = np.inf
                 n0 = len(ids)
                 ids += own
-                # equal after rounding is a tie, which the lesser id wins
-                d = np.round(np.concatenate([best_d, d], axis=1), 9)
+                # equal after rounding is a tie, which the lesser id wins; the distance itself goes on unrounded
+                d = np.concatenate([best_d, d], axis=1)
                 i = np.concatenate([best_i, np.broadcast_to(np.arange(n0, len(ids)), (len(q), len(own)))], axis=1)
                 if d.shape[1] > k:
                     order = np.empty(len(ids), np.int64)
                     order[sorted(range(len(ids)), key=lambda z: (ids[z] is not None, ids[z]))] = np.arange(len(ids))
-                    part = np.argpartition(d, k - 1, axis=1)[:, :k]
-                    worst = np.take_along_axis(d, part, 1).max(1)
-                    for r in np.flatnonzero((d <= worst[:, None]).sum(1) > k).tolist():
-                        at = np.flatnonzero(d[r] <= worst[r])
-                        part[r] = at[np.lexsort((order[i[r, at]], d[r, at]))[:k]]
+                    near = np.round(d, 9)
+                    part = np.argpartition(near, k - 1, axis=1)[:, :k]
+                    worst = np.take_along_axis(near, part, 1).max(1)
+                    for r in np.flatnonzero((near <= worst[:, None]).sum(1) > k).tolist():
+                        at = np.flatnonzero(near[r] <= worst[r])
+                        part[r] = at[np.lexsort((order[i[r, at]], near[r, at]))[:k]]
                     d, i = np.take_along_axis(d, part, 1), np.take_along_axis(i, part, 1)
                 best_d, best_i = d, i
                 live = np.unique(best_i)

@@ -254,6 +254,20 @@ def test_knn_breaks_ties_by_id(spark):
         assert got == {(a, n + 1): x for a in (1, 2) for n, x in enumerate(sorted(ids)[:3])}
 
 
+def test_knn_distances_are_rounded_once(spark):
+    # 1 - cos is 0.6753444998: to nine digits and then to six it would be 0.675345
+    c = 1 - 0.6753444998
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [c, (1 - c * c) ** 0.5])], "id long, vector array<double>")
+    got = vector.knn(v, v.withColumnRenamed("id", "qid"), 1, "cosine", self_join=True).select("qid", "id", F.round("distance", 6).alias("d")).collect()
+    assert {tuple(r) for r in got} == {(1, 2, 0.675344), (2, 1, 0.675344)}
+
+
+def test_knn_self_join_equals_its_sql_in_every_digit(spark, con):
+    rel = con.sql(base.ORACLES["knn_self_join"])
+    want = {tuple(r) for r in rel.fetchall()}
+    assert {tuple(r) for r in base.QUERIES["knn_self_join"](spark, SF).select(*rel.columns).collect()} == want
+
+
 def test_index_is_loaded_before_anything_is_inserted(spark, tmp_path):
     vector.VectorIndex.create(spark, str(tmp_path / "i"), dimensions=2)
     index = vector.VectorIndex.load(spark, str(tmp_path / "i"))
