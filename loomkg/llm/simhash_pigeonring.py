@@ -3,7 +3,13 @@
 Each text gets a 128-bit SimHash of its distinct words, weighted by the square root of their counts.
 In scripts that are written without spaces each character counts as a word, and pairs of neighbours are
 what is hashed. Texts too short for a fingerprint are grouped by a hash of their normalised text instead.
-Equal fingerprints collapse first, so a group of thousands of copies costs one row. Candidates agree in
+Equal fingerprints collapse first, so a group of thousands of copies costs one row. `within` then finds every
+pair within `budget` bits: the bits are cut into six segments whose shares of the budget add up to it, so that
+a pair agrees in some segment but for two or three bits (the pigeonhole principle). Each way to flip so many
+bits of a segment names a bucket to compare with. Blocks of fingerprints meet two at a time, one task for each
+segment; work grows as the square of the distinct texts, some thousandth of all pairs.
+
+`similar` is the approximate search, for those who pass a recall. Candidates agree in
 one key: `key_bits` consecutive bits of a ring, a seeded permutation of the 128 bits; several rings and
 starts are indexed. The number of keys follows from `recall` at `budget` bits of distance alone: whether a
 pair is found does not depend on what other rows there are. A pair then has to pass the
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,6 +45,11 @@ EXACT = 20
 KEY_BITS = 20
 #: Stretches of equal keys up to this length are compared pair by pair, longer ones grow from seeds.
 SMALL = 24
+#: Segments of the exact search, and fingerprints of one of its blocks.
+PARTS = 6
+BLOCK = 1 << 20
+#: Two buckets with more pairs than this are compared apart from the others, without the pairs of one component.
+HEAVY = 1 << 14
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -157,7 +169,11 @@ def _keys(f: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+    if not len(column):
+        return np.zeros((0, BITS // 8), np.uint8)
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, BITS // 8)
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -295,6 +311,187 @@ def similar(prints: DataFrame, budget: int, recall: float, key_bits: int = KEY_B
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
 
 
+def parts(budget: int) -> list[tuple[np.ndarray, int]]:
+    """(bit positions, most bits that differ) of the segments of the exact search.
+
+    The numbers add up to the budget less what the segments round off: two fingerprints that differ by more in
+    every segment differ in more than `budget` bits. So pairs within it agree so far in one segment at least.
+    """
+    m = max(PARTS, -(-(budget + 1) // 4))
+    ring = np.random.default_rng(20240229).permutation(BITS)
+    out = []
+    for i, at in enumerate(np.array_split(ring, m)):
+        # each takes its most plus one of budget + 1
+        most = (budget + 1) // m - 1 + (i < (budget + 1) % m)
+        if most >= 0:
+            out.append((at, most))
+    return out
+
+
+def _flips(bits: int, most: int) -> list[int]:
+    """All words of so many bits with up to `most` ones, the fewest first."""
+    return [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(bits), n)]
+
+
+class _Forest:
+    """Pairs found, kept as they join components; labels follow in turns, as renewing them passes over all."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+        self.edges: list[np.ndarray] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.label[a] != self.label[b]
+        if apart.any():
+            self.held.append(np.stack([a[apart], b[apart]]))
+            self.size += int(apart.sum())
+            if self.size > 1 << 15:
+                self.settle()
+
+    def settle(self) -> None:
+        if self.size:
+            a, b = np.concatenate(self.held, axis=1)
+            new = np.ones(len(a), bool)
+            self.label = _join(self.label, a, b, new)
+            self.edges.append(np.stack([a[new], b[new]]))
+            self.held, self.size = [], 0
+
+
+def _across(w: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, forest: _Forest) -> None:
+    """Near pairs of a and b, two large buckets or one with itself: not those of the component with most members."""
+    forest.settle()
+    both = forest.label[np.concatenate([a, b])]
+    name, count = np.unique(both, return_counts=True)
+    if len(name) == 1:
+        return
+    most = name[count.argmax()]
+    x, y = forest.label[a] == most, forest.label[b] == most
+    for p, q in ((a[~x], b), (a[x], b[~y])):
+        if len(p) * len(q) <= 1 << 22:
+            step = max(1, (1 << 17) // max(1, len(q)))
+            for c in range(0, len(p), step):
+                d = np.bitwise_count(w[p[c : c + step], None, 0] ^ w[None, q, 0]) + np.bitwise_count(w[p[c : c + step], None, 1] ^ w[None, q, 1])
+                i, j = np.nonzero(d <= budget)
+                forest.add(p[c + i], q[j])
+            continue
+        every = np.unique(np.concatenate([p, q]))
+        f = np.ascontiguousarray(w[every]).view(np.uint8)
+        for i, j, _ in _long(f, 0, len(every), budget, True):
+            forest.add(every[i], every[j])
+
+
+def _search(a: np.ndarray, b: np.ndarray | None, at: np.ndarray, most: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(f, (2, edges) of places in it): a spanning forest of the near pairs of a and b, or of a alone, that agree at `at`.
+
+    Agree means that up to `most` of these bits differ. Both sides are sorted by these bits; for every way to flip
+    so many of them, each fingerprint of a meets the bucket of b that its bits so flipped name.
+    """
+    bits = len(at)
+
+    def order(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = np.concatenate([_keys(f[c : c + (1 << 16)], [at])[:, 0] for c in range(0, len(f), 1 << 16)]).astype(np.int32)
+        by = np.argsort(key, kind="stable")
+        return key[by], f[by]
+
+    alone = b is None
+    key, f = order(a)
+    if alone:
+        other, n = key, 0
+    else:
+        other, g = order(b)
+        n = len(f)
+        f = np.concatenate([f, g])
+    w = np.ascontiguousarray(f).view(np.uint64)
+    w0, w1 = np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[:, 1])
+    start = np.zeros((1 << bits) + 1, np.int32)
+    np.cumsum(np.bincount(other, minlength=1 << bits), out=start[1:])
+    size = np.diff(start)
+    own = np.bincount(key, minlength=1 << bits)
+    forest = _Forest(len(f))
+    place = np.arange(len(key), dtype=np.int32)
+    for flip in _flips(bits, most):
+        # a fingerprint alone with its kind meets those behind it; of two buckets the lesser meets the greater
+        here = place if flip == 0 or not alone else place[key & (1 << (flip.bit_length() - 1)) == 0]
+        to = key[here] ^ np.int32(flip)
+        count = size[to]
+        here, to, count = here[count > 0], to[count > 0], count[count > 0]
+        if not len(here):
+            continue
+        large = own[key[here]] * count > HEAVY
+        if large.any():
+            for k in np.unique(key[here[large]]).tolist():
+                lo = int(np.searchsorted(key, k))
+                _across(w, np.arange(lo, lo + own[k]), n + np.arange(start[k ^ flip], start[(k ^ flip) + 1]), budget, forest)
+            here, to, count = here[~large], to[~large], count[~large]
+        first = start[to]
+        if alone and flip == 0:
+            first, count = here + 1, start[to + 1] - here - 1
+        total = np.cumsum(count, dtype=np.int64)
+        i = 0
+        while i < len(here):
+            done = total[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(total, done + (1 << 17), side="right")))
+            c = count[i:j]
+            x = np.repeat(here[i:j], c)
+            y = np.repeat(first[i:j] - (total[i:j] - c - done).astype(np.int32), c) + np.arange(len(x), dtype=np.int32) + np.int32(n)
+            d = np.bitwise_count(w0[x] ^ w0[y])
+            d += np.bitwise_count(w1[x] ^ w1[y])
+            near = np.flatnonzero(d <= budget)
+            if len(near):
+                forest.add(x[near], y[near])
+            i = j
+    forest.settle()
+    return f, np.concatenate(forest.edges, axis=1) if forest.edges else np.zeros((2, 0), np.int64)
+
+
+def within(prints: DataFrame, budget: int) -> DataFrame:
+    """(a, b) pairs of distinct fingerprints within the budget, none left out but those that others join; prints: (f binary).
+
+    Every two blocks of fingerprints meet in a task for each segment, which gives a spanning forest of its pairs.
+    A task holds two blocks of `BLOCK` fingerprints of 16 bytes. The number of tasks follows from that of fingerprints.
+    """
+    spark = prints.sparkSession
+    ship(spark)
+    segments = parts(budget)
+    m = len(segments)
+    blocks = max(3, -(-prints.count() // BLOCK))
+    tasks = blocks * (blocks + 1) // 2 * m
+    placed = prints.select("f", F.pmod(F.xxhash64("f"), F.lit(blocks)).cast("int").alias("block"))
+    met = placed.select("f", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    tile = (high * (high + 1) / 2).cast("int") + low
+    sent = met.select("f", (F.col("block") == high).alias("right"), (F.col("block") == F.col("other")).alias("alone"), tile.alias("tile")).select(
+        "f", "right", "alone", F.explode(F.sequence(F.col("tile") * m, F.col("tile") * m + (m - 1))).alias("task")
+    )
+
+    def search(batches):  # noqa: ANN001, ANN202
+        held: dict[int, tuple[bool, list, list]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            f, right, task = _matrix(batch.column(0)), np.asarray(batch.column(1)), batch.column(3).to_numpy()
+            for t in np.unique(task).tolist():
+                alone, left, other = held.setdefault(t, (batch.column(2)[int(np.flatnonzero(task == t)[0])].as_py(), [], []))
+                left.append(f[(task == t) & ~right])
+                other.append(f[(task == t) & right])
+        for t in list(held):
+            alone, left, other = held.pop(t)
+            a, b = np.concatenate(left), np.concatenate(other)
+            del left, other
+            if alone:
+                a, b = b, None
+            elif not len(a) or not len(b):
+                continue
+            f, (i, j) = _search(a, b, *segments[t % m], budget)
+            for c in range(0, len(i), 50_000):
+                yield pa.record_batch([pa.array([x.tobytes() for x in f[at[c : c + 50_000]]], pa.binary()) for at in (i, j)], ["a", "b"])
+
+    found = sent.repartitionById(tasks, F.col("task")).mapInArrow(search, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root): least node of each connected component; hooking with pointer jumping, in few rounds.
 
@@ -315,9 +512,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 18, recall: float = 0.95, min_words: int = 8, key_bits: int = KEY_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 18, min_words: int = 8) -> DataFrame:
     """(id, duplicate_of, distance) of every document that a lesser id of its group stands for.
 
+    All pairs of fingerprints within the budget count, without exception.
+
     A text of fewer than `min_words` words (characters, in scripts without spaces) is grouped with those of the
     same words only, and one without any word with those that differ in white space only. A null or blank text
     and a null id are in no group. Rows that repeat an id
@@ -344,8 +543,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_doc = written(arrow_map(rows, of, f"k {kind}, f binary", 1).groupBy("k").agg(F.min("f").alias("f")), name="prints")
     prints = written(by_doc.groupBy("f").agg(F.min("k").alias("k")), name="distinct")
     long = prints.where(F.length("f") < EXACT)
-    pairs = similar(long, budget, recall, key_bits, forest=True)
-    roots = components(pairs.select("a", "b"))
+    roots = components(within(long, budget))
     # the least id of a component stays
     member = roots.join(prints, roots["node"] == prints["f"]).select("node", "root", "k")
     best = member.groupBy("root").agg(F.min(F.struct("k", "node")).alias("m")).select("root", F.col("m.k").alias("duplicate_of"), F.col("m.node").alias("kept_f"))

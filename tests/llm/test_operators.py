@@ -492,6 +492,52 @@ def test_long_stretches_of_equal_keys_cost_a_few_passes(monkeypatch):
     assert sum(x.shape[1] for x in got) == len(f) - 6 and sum(seen) < 20 * len(f)
 
 
+@pytest.mark.parametrize("heavy", [1 << 14, 8])
+def test_simhash_finds_every_pair_within_the_budget(spark, monkeypatch, heavy):
+    monkeypatch.setattr(simhash_pigeonring, "HEAVY", heavy)
+    rng = np.random.default_rng(29)
+    # bits of uneven weight, as those of texts in few languages, so that unrelated ones share buckets
+    base = (rng.random((1000, 128)) < np.repeat([0.1, 0.3, 0.5, 0.8], 32)).astype(np.uint8)
+    pairs = base[:600].copy()
+    pairs[np.arange(600)[:, None], rng.random((600, 128)).argsort(1)[:, :18]] ^= 1
+    many = np.repeat(base[999:], 400, axis=0)
+    many[np.arange(400)[:, None], rng.integers(0, 128, (400, 5))] ^= 1
+    f = np.unique(np.packbits(np.concatenate([base, pairs, many]), axis=1), axis=0)
+    root = np.arange(len(f))
+    for _ in range(20):
+        for i in range(len(f)):
+            near = simhash_pigeonring.distance(np.broadcast_to(f[i], f.shape), f) <= 18
+            root[near] = root[near].min()
+        if (root[root] == root).all():
+            break
+    at, most = simhash_pigeonring.parts(18)[0]
+    assert sum(m + 1 for _, m in simhash_pigeonring.parts(18)) == 19 and sum(len(x) for x, _ in simhash_pigeonring.parts(18)) == 128
+    g, edges = simhash_pigeonring._search(f[::2], f[1::2], at, most, 18)
+    assert edges.shape[1] and (simhash_pigeonring.distance(g[edges[0]], g[edges[1]]) <= 18).all()
+    frame_ = spark.createDataFrame([(bytearray(x.tobytes()),) for x in f], "f binary")
+    got = {bytes(r.node): bytes(r.root) for r in simhash_pigeonring.components(simhash_pigeonring.within(frame_, 18)).collect()}
+    want = {}
+    for i, r in enumerate(root.tolist()):
+        want.setdefault(r, set()).add(f[i].tobytes())
+    assert got == {x: min(g) for g in want.values() if len(g) > 1 for x in g}
+
+
+def test_near_copies_are_grouped_without_exception(spark):
+    # with keys of equal bits some of those at the full budget were missed
+    rng = random.Random(31)
+    texts = [prose(120, rng) for _ in range(1200)]
+    for x in list(texts):
+        words = x.split()
+        for i in rng.sample(range(120), 14):
+            words[i] = rng.choice(WORDS)
+        texts.append(" ".join(words))
+    f, _ = simhash_pigeonring.fingerprints(pa.array(texts))
+    apart = simhash_pigeonring.distance(f[:1200], f[1200:])
+    assert 400 < (apart <= 18).sum() < 1200
+    got = {(r.doc_id, r.duplicate_of, r.distance) for r in simhash_pigeonring.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {(i + 1200, i, d) for i, d in enumerate(apart.tolist()) if d <= 18}
+
+
 def test_stretches_cross_batches():
     rng = random.Random(3)
     key = np.sort(np.array([rng.choice([1, 2, 2, 2, 2, 5, 9, 9, 9]) for _ in range(300)]))
