@@ -522,6 +522,24 @@ def test_simhash_finds_every_pair_within_the_budget(spark, monkeypatch, heavy):
     assert got == {x: min(g) for g in want.values() if len(g) > 1 for x in g}
 
 
+def test_blocks_of_fingerprints_meet_each_other(spark, monkeypatch):
+    rng = np.random.default_rng(37)
+    base = rng.integers(0, 2, (2000, 128), dtype=np.uint8)
+    near = base.copy()
+    near[np.arange(2000)[:, None], rng.random((2000, 128)).argsort(1)[:, :18]] ^= 1
+    x, y = (np.packbits(b, axis=1) for b in (base, near))
+    monkeypatch.setattr(simhash_pigeonring, "BLOCK", 900)
+    prints = spark.createDataFrame([(bytearray(f.tobytes()),) for f in np.concatenate([x, y])], "f binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in simhash_pigeonring.within(prints, 18).collect()}
+    assert got == {tuple(sorted((a.tobytes(), b.tobytes()))) for a, b in zip(x, y, strict=True)}
+
+
+def test_few_pairs_of_large_blocks_are_compared():
+    # of unrelated fingerprints a few in a thousand share a bucket for some flip, and each is sent once a block and segment
+    for at, most in simhash_pigeonring.parts(18):
+        assert len(simhash_pigeonring._flips(len(at), most)) / (1 << len(at)) < 5e-4
+
+
 def test_near_copies_are_grouped_without_exception(spark):
     # with keys of equal bits some of those at the full budget were missed
     rng = random.Random(31)
