@@ -13,6 +13,11 @@ common prefixes with the last winner, and looks at bytes only where those are eq
 Neighbours of the merged order give the longest match of every suffix with another document; of a group of
 equal openings only those entries are held that await the next other document. The number of buckets follows
 from the bytes of all suffixes, `BUCKET` each, and a task merges one bucket at a time.
+
+That reports passages from an anchor on. `passages`, which the query uses, looks at every position: each window of
+`least` words belongs to the least hash among its first `gap` word pairs, so equal windows belong to equal anchors.
+Windows are pruned by their anchor's opening, as suffixes are, and the rest are compared one by one, by 64-bit
+hashes of the window and of that opening; it sorts hashes, not suffixes, and does not compare bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +35,8 @@ from loomkg.common import ship, shuffle_partitions, written
 from loomkg.llm import _bytes as B
 from loomkg.llm._run import arrow_map
 
+#: Windows in a bucket of `passages`.
+WINDOWS = 1 << 22
 #: Bytes of suffixes in a bucket, and of those that a task gathers before it sends runs.
 BUCKET = 64 << 20
 GATHER = 48 << 20
@@ -339,7 +347,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (id_type, pa.int32(), pa.int32(), id_type), strict=True)], ["k", "p", "w", "source"])
 
     hits = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(merge, f"k {kind}, p int, w int, source {kind}")
-    # overlapping matches of one document become one span
+    return _joined(hits, id_col)
+
+
+def _joined(hits: DataFrame, id_col: str) -> DataFrame:
+    """Spans of the hits (k, p, w, source) of each document: those that overlap or touch become one."""
     from pyspark.sql import Window
 
     by = Window.partitionBy("k").orderBy("p", "w")
@@ -347,3 +359,144 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     marked = hits.withColumn("new", (F.coalesce(ends, F.lit(-1)) < F.col("p")).cast("int")).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     spans = marked.groupBy("k", "span").agg(F.min("p").alias("start_word"), (F.max(F.col("p") + F.col("w")) - F.min("p")).alias("n_words"), F.min("source").alias("source"))
     return spans.select(F.col("k").alias(id_col), "start_word", "n_words", "source", (F.col("source") != F.col("k")).alias("copy"))
+
+
+def windows(h: np.ndarray, first: np.ndarray, gap: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of all windows of `least` words that lie in one text, the position of the anchor of each)."""
+    end = np.repeat(first[1:], np.diff(first))
+    at = np.flatnonzero(np.arange(len(h)) + least <= end)
+    if not len(at):
+        return at, at
+    low = B.rolled(h, 2)
+    place, reach = np.arange(len(low)), 1
+    while reach < gap:
+        step = min(reach, gap - reach)
+        # of equal hashes the first
+        behind = low[step:] < low[:-step]
+        low, place = np.where(behind, low[step:], low[:-step]), np.where(behind, place[step:], place[:-step])
+        reach += step
+    return at, place[at]
+
+
+def _window_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    up, down = B._powers(len(h))
+    p = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=p[1:])
+    return B.mix((p[at + n] - p[at]) * down[at])
+
+
+def _shared(h: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, first: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The least document of each window that occurs in two documents at least, else -1.
+
+    Row i has the windows first[i] to first[i + 1], at q[i] and on; h: hash of the opening at its anchor p.
+    """
+    least = np.full(len(w), -1, np.int64)
+    count = np.diff(first)
+    # equal windows are as far before their anchor; so no more than a window a row is sorted at once
+    for t in range(int((p - q).max()) + 1 if len(q) else 0):
+        at = p - t - q
+        row = np.flatnonzero((at >= 0) & (at < count))
+        if not len(row):
+            continue
+        x = first[row] + at[row]
+        by = np.lexsort((doc[row], h[row], w[x]))
+        row, x = row[by], x[by]
+        start = np.flatnonzero(np.r_[True, (w[x[1:]] != w[x[:-1]]) | (h[row[1:]] != h[row[:-1]])])
+        size = np.diff(np.r_[start, len(x)])
+        few, many = doc[row[start]], doc[row[start + size - 1]]
+        least[x] = np.repeat(np.where(few != many, few, -1), size)
+    return least
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 35, gap: int = 16) -> DataFrame:
+    """(id, start_word, n_words, source, copy): all words of passages of `least` words that another document has too.
+
+    Every window of `least` words at every position counts; nothing shorter does. Spans that overlap or touch are
+    joined. `gap` changes no result. Words, source, copy and odd rows are as in `repeats`; of texts that repeat an id,
+    too, each gives its own windows. `least` must be greater than `gap`. A task holds the windows of `WINDOWS` or of one opening.
+    """
+    if not 1 < gap < least:
+        raise ValueError("gap must be between 2 and least - 1")
+    spark = docs.sparkSession
+    ship(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
+    opening = least - gap + 1
+    text = F.col(text_col).cast("string")
+    rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("k"), text.alias("t"))
+
+    def words(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        buf, offs = B.lowered(b.column(1))
+        s, e, first = B.spans(buf, offs, B.WORDS)
+        return B.hashes(buf, B.WORDS, s, e), first
+
+    def find(b: pa.RecordBatch) -> pa.RecordBatch:
+        h, first = words(b)
+        at = np.unique(windows(h, first, gap, least)[1])
+        own = np.searchsorted(first, at, side="right") - 1
+        th = _window_hashes(h, at, opening)
+        return pa.record_batch([pa.array(th.view(np.int64)), b.column(0).take(pa.array(own)), pa.array((at - first[own]).astype(np.int32))], ["h", "k", "p"])
+
+    found = arrow_map(rows, find, f"h bigint, k {kind}, p int", 1)
+    # one exchange by hash: only hashes of two documents at least go on
+    two = written(found.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("h"), name="shared")
+    by_doc = found.join(two.hint("shuffle_hash"), "h").groupBy("k")
+    places = written(by_doc.agg(F.array_sort(F.collect_set("p")).alias("ps")), name="places")
+    total = places.agg(F.sum(F.size("ps"))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-total * gap // WINDOWS))
+    chosen = rows.join(places.withColumnRenamed("k", "pk"), F.col("k") == F.col("pk")).select("k", "t", "ps")
+
+    def spread(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        h, first = words(b)
+        at, anchor = windows(h, first, gap, least)
+        lists = b.column(2)
+        wanted = np.repeat(first[:-1], lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()
+        wanted = wanted[wanted < np.repeat(first[1:], lists.value_lengths().to_numpy())]
+        live = np.isin(anchor, wanted)
+        at, anchor = at[live], anchor[live]
+        if not len(at):
+            return None
+        # the windows of an anchor are neighbours
+        start = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
+        p, q = anchor[start], at[start]
+        own = np.searchsorted(first, p, side="right") - 1
+        ends = (np.r_[start, len(at)] * 8).astype(np.int32)
+        w = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(_window_hashes(h, at, least))])
+        columns = [pa.array(_window_hashes(h, p, opening).view(np.int64)), b.column(0).take(pa.array(own)), pa.array((p - first[own]).astype(np.int32)), pa.array((q - first[own]).astype(np.int32)), w]
+        return pa.record_batch(columns, ["h", "k", "p", "q", "w"])
+
+    sent = arrow_map(chosen, spread, f"h bigint, k {kind}, p int, q int, w binary", 1)
+
+    def compare(batches):  # noqa: ANN001, ANN202
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        every = pa.Table.from_batches(got).combine_chunks()
+        del got
+        h, p, q = (every.column(c).to_numpy() for c in (0, 2, 3))
+        names = every.column(1).combine_chunks().dictionary_encode()
+        if isinstance(names, pa.ChunkedArray):
+            names = names.combine_chunks()
+        order = pc.sort_indices(names.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        doc = rank[names.indices.to_numpy()]
+        size = pc.binary_length(every.column(4)).to_numpy() // 8
+        first = np.r_[0, np.cumsum(size)]
+        w = np.concatenate([np.frombuffer(c.buffers()[2], np.uint64)[np.frombuffer(c.buffers()[1], np.int32)[c.offset] // 8 :][: int(pc.sum(pc.binary_length(c)).as_py()) // 8] for c in every.column(4).chunks])
+        source = _shared(h, doc, p, q, first, w)
+        row = np.repeat(np.arange(len(p)), size)
+        at = np.flatnonzero(source >= 0)
+        if not len(at):
+            return
+        start = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])])
+        length = np.diff(np.r_[start, len(at)])
+        src = np.minimum.reduceat(source[at], start)
+        own = row[at[start]]
+        begin = q[own] + (at[start] - first[own])
+        values = names.dictionary.take(order)
+        for c in range(0, len(start), 50_000):
+            o = slice(c, c + 50_000)
+            yield pa.record_batch([values.take(pa.array(doc[own[o]])), pa.array(begin[o].astype(np.int32)), pa.array((length[o] + least - 1).astype(np.int32)), values.take(pa.array(src[o]))], ["k", "p", "w", "source"])
+
+    hits = sent.repartition(buckets, "h").mapInArrow(compare, f"k {kind}, p int, w int, source {kind}")
+    return _joined(hits, id_col)

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomkg.llm import _bytes as B
 from loomkg.llm import decontaminate, fertility, histogram_sort, license_scan, line_dedup, ordinal_quality, packing, simhash_pigeonring, suffix_dedup, toxicity
@@ -263,6 +264,53 @@ def test_suffix_dedup_equals_brute_force_and_finds_planted(spark, odd, empty):
     assert {r.doc_id for r in suffix_dedup.repeats(odd).collect()} == {3, 4, 5}
 
 
+def brute_passages(docs, least=35):
+    """All windows of all positions."""
+    at = {}
+    for i, x in docs.items():
+        buf, offs = B.flat(pa.array([x]))
+        s, e, _ = B.spans(buf, offs, B.WORDS)
+        words = [bytes(B.WORDS[buf[a:b]]) for a, b in zip(s, e, strict=True)]
+        for p in range(len(words) - least + 1):
+            at.setdefault(tuple(words[p : p + least]), []).append((i, p))
+    out = {}
+    for group in at.values():
+        if len({i for i, _ in group}) > 1:
+            for i, p in group:
+                out.setdefault(i, []).append((p, p + least, min(group)[0]))
+    spans = set()
+    for i, x in out.items():
+        now = []
+        for p, q, s in sorted(x):
+            if now and p <= now[-1][1]:
+                now[-1] = [now[-1][0], max(now[-1][1], q), min(now[-1][2], s)]
+            else:
+                now.append([p, q, s])
+        spans |= {(i, p, q - p, s, s != i) for p, q, s in now}
+    return spans
+
+
+def test_passages_are_reported_from_their_first_word_at_every_position(spark, odd, empty, tmp_path):
+    from loomkg.llm import queries
+
+    rng = random.Random(41)
+    passage = [prose(n, rng) for n in (34, 35, 36, 40, 49, 50, 70, 200)] + [" ".join(["same"] * 60)]
+    docs = {i: prose(rng.randint(1, 150), rng) for i in range(30)}
+    for i in range(30, 90):
+        docs[i] = prose(rng.randint(0, 60), rng) + " " + passage[i % 9] + ", " + prose(rng.randint(0, 60), rng) + " " + rng.choice(passage)
+    docs[90] = docs[91] = docs[5]
+    d = frame(spark, list(docs.values()), list(docs))
+    want = brute_passages(docs)
+    d.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in queries.op4_suffix_dedup(spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in suffix_dedup.passages(d, gap=5).collect()} == want
+    named = {(str(i), p, n, str(s), c) for i, p, n, s, c in brute_passages({i: docs[i] for i in range(30, 90)})}
+    texts = frame(spark, [docs[i] for i in range(30, 90)], list(range(30, 90))).withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {tuple(r) for r in suffix_dedup.passages(texts).collect()} == named
+    assert suffix_dedup.passages(empty).count() == 0
+    assert {r.doc_id for r in suffix_dedup.passages(odd).collect()} == {3, 4, 5}
+
+
 def test_loser_tree_merges_and_compares_no_byte_twice():
     rng = random.Random(2)
     every = [("ab" * rng.randint(0, 40) + "".join(rng.choice("ab") for _ in range(10))).encode() for _ in range(500)]
