@@ -4,10 +4,10 @@ Each text gets a 128-bit SimHash of its distinct words, weighted by the square r
 In scripts that are written without spaces each character counts as a word, and pairs of neighbours are
 what is hashed. Texts too short for a fingerprint are grouped by a hash of their normalised text instead.
 Equal fingerprints collapse first, so a group of thousands of copies costs one row. `within` then finds every
-pair within `budget` bits: the bits are cut into six segments whose shares of the budget add up to it, so that
+pair within `budget` bits: the bits are cut into five segments whose shares of the budget add up to it, so that
 a pair agrees in some segment but for two or three bits (the pigeonhole principle). Each way to flip so many
-bits of a segment names a bucket to compare with. Blocks of fingerprints meet two at a time, one task for each
-segment; work grows as the square of the distinct texts, some thousandth of all pairs.
+bits of a segment names a bucket to compare with. Blocks of fingerprints meet two at a time, in tasks for each
+segment and share of its flips; work grows as the square of the distinct texts, some thousandths of all pairs.
 
 `similar` is the approximate search, for those who pass a recall. Candidates agree in
 one key: `key_bits` consecutive bits of a ring, a seeded permutation of the 128 bits; several rings and
@@ -46,10 +46,13 @@ KEY_BITS = 20
 #: Stretches of equal keys up to this length are compared pair by pair, longer ones grow from seeds.
 SMALL = 24
 #: Segments of the exact search, and fingerprints of one of its blocks.
-PARTS = 6
-BLOCK = 1 << 20
+PARTS = 5
+BLOCK = 1 << 21
 #: Two buckets with more pairs than this are compared apart from the others, without the pairs of one component.
 HEAVY = 1 << 14
+#: Sizes of the pieces that other buckets are cut into, so that many of one size are compared at once.
+SHAPES = (1, 2, 3, 4, 6, 8, 12, 16)
+_SHAPE = np.searchsorted(SHAPES, np.arange(SHAPES[-1] + 2)).astype(np.uint8)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -334,130 +337,194 @@ def _flips(bits: int, most: int) -> list[int]:
 
 
 class _Forest:
-    """Pairs found, kept as they join components; labels follow in turns, as renewing them passes over all."""
+    """Spanning forest of the pairs found; no pass goes over all members, only over those of the pairs."""
 
     def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
-        self.held: list[np.ndarray] = []
-        self.size = 0
+        self.root = np.arange(n)
         self.edges: list[np.ndarray] = []
 
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        r = self.root[x]
+        while True:
+            far = self.root[r]
+            if (far == r).all():
+                break
+            r = far
+        self.root[x] = r
+        return r
+
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        apart = self.label[a] != self.label[b]
-        if apart.any():
-            self.held.append(np.stack([a[apart], b[apart]]))
-            self.size += int(apart.sum())
-            if self.size > 1 << 15:
-                self.settle()
-
-    def settle(self) -> None:
-        if self.size:
-            a, b = np.concatenate(self.held, axis=1)
-            new = np.ones(len(a), bool)
-            self.label = _join(self.label, a, b, new)
-            self.edges.append(np.stack([a[new], b[new]]))
-            self.held, self.size = [], 0
-
-
-def _across(w: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, forest: _Forest) -> None:
-    """Near pairs of a and b, two large buckets or one with itself: not those of the component with most members."""
-    forest.settle()
-    both = forest.label[np.concatenate([a, b])]
-    name, count = np.unique(both, return_counts=True)
-    if len(name) == 1:
-        return
-    most = name[count.argmax()]
-    x, y = forest.label[a] == most, forest.label[b] == most
-    for p, q in ((a[~x], b), (a[x], b[~y])):
-        if len(p) * len(q) <= 1 << 22:
-            step = max(1, (1 << 17) // max(1, len(q)))
-            for c in range(0, len(p), step):
-                d = np.bitwise_count(w[p[c : c + step], None, 0] ^ w[None, q, 0]) + np.bitwise_count(w[p[c : c + step], None, 1] ^ w[None, q, 1])
-                i, j = np.nonzero(d <= budget)
-                forest.add(p[c + i], q[j])
-            continue
-        every = np.unique(np.concatenate([p, q]))
-        f = np.ascontiguousarray(w[every]).view(np.uint8)
-        for i, j, _ in _long(f, 0, len(every), budget, True):
-            forest.add(every[i], every[j])
+        while len(a):
+            r, s = self.roots(a), self.roots(b)
+            apart = r != s
+            a, b, r, s = a[apart], b[apart], r[apart], s[apart]
+            # every root that is not the least of its pairs hangs on a lesser one, so no circle comes about
+            high, at = np.unique(np.maximum(r, s), return_index=True)
+            self.root[high] = np.minimum(r, s)[at]
+            self.edges.append(np.stack([a[at], b[at]]))
+
 
+def _across(w0: np.ndarray, w1: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, forest: _Forest) -> None:
+    """Near pairs of a and b, two large buckets or one with itself: not those of the component with most members.
 
-def _search(a: np.ndarray, b: np.ndarray | None, at: np.ndarray, most: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    Which component that is, is asked again as members of a are done, the oftener the fewer are.
+    """
+    most = len(b)
+    while len(a):
+        both = forest.roots(np.concatenate([a, b]))
+        name, count = np.unique(both, return_counts=True)
+        if len(name) == 1:
+            return
+        in_a, in_b = np.split(both == name[count.argmax()], [len(a)])
+        rest = b[~in_b]
+        cost = np.cumsum(np.where(in_a, len(rest), len(b)))
+        done = max(1, int(np.searchsorted(cost, most, side="right")))
+        most = min(2 * most, max(1 << 22, len(b)))
+        for p, q in ((a[:done][~in_a[:done]], b), (a[:done][in_a[:done]], rest)):
+            step = max(1, (1 << 16) // max(1, len(q)))
+            for c in range(0, len(p) if len(q) else 0, step):
+                d = np.bitwise_count(w0[p[c : c + step], None] ^ w0[None, q])
+                d += np.bitwise_count(w1[p[c : c + step], None] ^ w1[None, q])
+                near = np.flatnonzero(d.ravel() <= budget)
+                if len(near):
+                    forest.add(p[c + near // len(q)], q[near % len(q)])
+        a = a[done:]
+
+
+def _pieces(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(beginnings, places of their sizes in SHAPES, which bucket) of the pieces that buckets are cut into."""
+    most = SHAPES[-1]
+    n = (size + (most - 1)) // most
+    which = np.repeat(np.arange(len(size)), n)
+    at = (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)) * most
+    return first[which] + at, _SHAPE[np.minimum(size[which] - at, most)], which
+
+
+class _Buckets:
+    """Fingerprints in the order of their bits: the keys that occur, where their buckets begin, how large they are."""
+
+    def __init__(self, f: np.ndarray, at: np.ndarray, behind: int) -> None:
+        key = np.concatenate([_keys(f[c : c + (1 << 16)], [at])[:, 0] for c in range(0, len(f), 1 << 16)] or [np.zeros(0, np.int64)])
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        w = np.ascontiguousarray(f).view(np.uint64)
+        self.w0, self.w1 = w[by, 0], w[by, 1]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        self.key = key[first]
+        self.size = np.diff(np.r_[first, len(key)])
+        self.first = first + behind
+        self.shape = _SHAPE[np.minimum(self.size, len(_SHAPE) - 1)]
+
+    def index(self, bits: int) -> None:
+        self.has = np.zeros(max(64, 1 << bits), bool)
+        self.has[self.key] = True
+        self.words = np.packbits(self.has, bitorder="little").view(np.uint64)
+        self.before = np.cumsum(np.bitwise_count(self.words), dtype=np.int64) - np.bitwise_count(self.words)
+
+    def rank(self, key: np.ndarray) -> np.ndarray:
+        """Places of keys that occur among all that do."""
+        word = key >> 6
+        below = (np.uint64(1) << (key & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & below)
+
+
+def _search(a: np.ndarray, b: np.ndarray | None, at: np.ndarray, most: int, budget: int, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(f, (2, edges) of places in it): a spanning forest of the near pairs of a and b, or of a alone, that agree at `at`.
 
     Agree means that up to `most` of these bits differ. Both sides are sorted by these bits; for every way to flip
-    so many of them, each fingerprint of a meets the bucket of b that its bits so flipped name.
+    so many of them, each bucket of a meets the bucket of b that its bits so flipped name. Of several turns each
+    takes its share of the flips.
     """
     bits = len(at)
-
-    def order(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = np.concatenate([_keys(f[c : c + (1 << 16)], [at])[:, 0] for c in range(0, len(f), 1 << 16)]).astype(np.int32)
-        by = np.argsort(key, kind="stable")
-        return key[by], f[by]
-
     alone = b is None
-    key, f = order(a)
-    if alone:
-        other, n = key, 0
-    else:
-        other, g = order(b)
-        n = len(f)
-        f = np.concatenate([f, g])
-    w = np.ascontiguousarray(f).view(np.uint64)
-    w0, w1 = np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[:, 1])
-    start = np.zeros((1 << bits) + 1, np.int32)
-    np.cumsum(np.bincount(other, minlength=1 << bits), out=start[1:])
-    size = np.diff(start)
-    own = np.bincount(key, minlength=1 << bits)
-    forest = _Forest(len(f))
-    place = np.arange(len(key), dtype=np.int32)
-    for flip in _flips(bits, most):
-        # a fingerprint alone with its kind meets those behind it; of two buckets the lesser meets the greater
-        here = place if flip == 0 or not alone else place[key & (1 << (flip.bit_length() - 1)) == 0]
-        to = key[here] ^ np.int32(flip)
-        count = size[to]
-        here, to, count = here[count > 0], to[count > 0], count[count > 0]
-        if not len(here):
+    x = _Buckets(a, at, 0)
+    y = x if alone else _Buckets(b, at, len(a))
+    w0, w1 = (x.w0, x.w1) if alone else (np.concatenate([x.w0, y.w0]), np.concatenate([x.w1, y.w1]))
+    last = len(w0) - 1
+    y.index(bits)
+    forest = _Forest(len(w0))
+
+    def meet(k: np.ndarray, l: np.ndarray) -> None:
+        """All pairs of the buckets k of x and l of y."""
+        m, n = x.shape[k], y.shape[l]
+        cut = np.maximum(m, n) == len(SHAPES)
+        some = np.flatnonzero(~cut)
+        p, m, q, n = x.first[k[some]], m[some], y.first[l[some]], n[some]
+        if cut.any():
+            k, l = k[cut], l[cut]
+            large = x.size[k] * y.size[l] > HEAVY
+            for v, w in zip(k[large].tolist(), l[large].tolist(), strict=True):
+                _across(w0, w1, x.first[v] + np.arange(x.size[v]), y.first[w] + np.arange(y.size[w]), budget, forest)
+            k, l = k[~large], l[~large]
+            p2, m2, which = _pieces(x.first[k], x.size[k])
+            q2, n2, again = _pieces(y.first[l[which]], y.size[l[which]])
+            p, m, q, n = (np.concatenate(v) for v in ((p, p2[again]), (m, m2[again]), (q, q2), (n, n2)))
+        kind = m * len(SHAPES) + n
+        by = np.argsort(kind, kind="stable")
+        p, q, kind = p[by], q[by], kind[by]
+        edge = np.r_[np.flatnonzero(np.diff(kind, prepend=np.uint8(255))), len(kind)]
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            tall, wide = SHAPES[int(kind[lo]) // len(SHAPES)], SHAPES[int(kind[lo]) % len(SHAPES)]
+            step = max(1, (1 << 16) // (tall * wide))
+            for c in range(lo, hi, step):
+                # pieces that are shorter than their shape run into the next bucket, whose pairs do no harm
+                g = np.minimum(np.arange(tall)[:, None] + p[c : min(hi, c + step)], last)
+                h = np.minimum(np.arange(wide)[:, None] + q[c : min(hi, c + step)], last)
+                d = np.bitwise_count(w0[g][:, None] ^ w0[h][None])
+                d += np.bitwise_count(w1[g][:, None] ^ w1[h][None])
+                near = np.flatnonzero(d.ravel() <= budget)
+                if len(near):
+                    r, near = near // (wide * g.shape[1]), near % (wide * g.shape[1])
+                    forest.add(g[r, near % g.shape[1]], h[near // g.shape[1], near % g.shape[1]])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    # alone, a pair of buckets is met from that without the highest of the flipped bits
+    own, key = None, x.key
+    step = 1 << 15
+    buffer, found = np.empty(step, np.int64), np.empty(step, bool)
+    for flip in sorted(_flips(bits, most)[turn::turns], key=int.bit_length):
+        if flip == 0 and alone:
+            meet(many := np.flatnonzero(x.size > 1), many)
             continue
-        large = own[key[here]] * count > HEAVY
-        if large.any():
-            for k in np.unique(key[here[large]]).tolist():
-                lo = int(np.searchsorted(key, k))
-                _across(w, np.arange(lo, lo + own[k]), n + np.arange(start[k ^ flip], start[(k ^ flip) + 1]), budget, forest)
-            here, to, count = here[~large], to[~large], count[~large]
-        first = start[to]
-        if alone and flip == 0:
-            first, count = here + 1, start[to + 1] - here - 1
-        total = np.cumsum(count, dtype=np.int64)
-        i = 0
-        while i < len(here):
-            done = total[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(total, done + (1 << 17), side="right")))
-            c = count[i:j]
-            x = np.repeat(here[i:j], c)
-            y = np.repeat(first[i:j] - (total[i:j] - c - done).astype(np.int32), c) + np.arange(len(x), dtype=np.int32) + np.int32(n)
-            d = np.bitwise_count(w0[x] ^ w0[y])
-            d += np.bitwise_count(w1[x] ^ w1[y])
-            near = np.flatnonzero(d <= budget)
-            if len(near):
-                forest.add(x[near], y[near])
-            i = j
-    forest.settle()
+        if alone and own != flip.bit_length():
+            own = flip.bit_length()
+            here = np.flatnonzero(x.key & (1 << (own - 1)) == 0)
+            key = x.key[here]
+        for c in range(0, len(key), step):
+            n = min(step, len(key) - c)
+            to = np.bitwise_xor(key[c : c + n], flip, out=buffer[:n])
+            hit = np.flatnonzero(np.take(y.has, to, out=found[:n], mode="wrap"))
+            if len(hit):
+                held.append((here[c + hit] if alone else c + hit, y.rank(to[hit])))
+                waiting += len(hit)
+                if waiting > 1 << 18:
+                    meet(*(np.concatenate(v) for v in zip(*held, strict=True)))
+                    held, waiting = [], 0
+    if held:
+        meet(*(np.concatenate(v) for v in zip(*held, strict=True)))
+    f = np.stack([w0, w1], axis=1).view(np.uint8)
     return f, np.concatenate(forest.edges, axis=1) if forest.edges else np.zeros((2, 0), np.int64)
 
 
 def within(prints: DataFrame, budget: int) -> DataFrame:
     """(a, b) pairs of distinct fingerprints within the budget, none left out but those that others join; prints: (f binary).
 
-    Every two blocks of fingerprints meet in a task for each segment, which gives a spanning forest of its pairs.
-    A task holds two blocks of `BLOCK` fingerprints of 16 bytes. The number of tasks follows from that of fingerprints.
+    Every two blocks of fingerprints meet in a task for each share of a segment's flips, which gives a spanning forest
+    of its pairs. A task holds two blocks of `BLOCK` fingerprints of 16 bytes. The number of tasks follows from that
+    of fingerprints.
     """
     spark = prints.sparkSession
     ship(spark)
     segments = parts(budget)
-    m = len(segments)
-    blocks = max(3, -(-prints.count() // BLOCK))
-    tasks = blocks * (blocks + 1) // 2 * m
+    blocks = max(1, -(-prints.count() // BLOCK))
+    tiles = blocks * (blocks + 1) // 2
+    # few tiles are cut by flips, so that cores do not wait for one another
+    ways = [len(_flips(len(at), most)) for at, most in segments]
+    turns = [-(-n * max(1, min(4, -(-12 // tiles))) // max(ways)) for n in ways]
+    shares = [(i, k, n) for i, n in enumerate(turns) for k in range(n)]
+    m = len(shares)
+    tasks = tiles * m
     placed = prints.select("f", F.pmod(F.xxhash64("f"), F.lit(blocks)).cast("int").alias("block"))
     met = placed.select("f", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
@@ -484,7 +551,9 @@ def within(prints: DataFrame, budget: int) -> DataFrame:
                 a, b = b, None
             elif not len(a) or not len(b):
                 continue
-            f, (i, j) = _search(a, b, *segments[t % m], budget)
+            part, turn, turns = shares[t % m]
+            f, (i, j) = _search(a, b, *segments[part], budget, turn, turns)
+            del a, b
             for c in range(0, len(i), 50_000):
                 yield pa.record_batch([pa.array([x.tobytes() for x in f[at[c : c + 50_000]]], pa.binary()) for at in (i, j)], ["a", "b"])
 
