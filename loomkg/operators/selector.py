@@ -195,23 +195,27 @@ def _local_reach(edges: DataFrame, seeds: list[str], direction: str, limit: int)
     return in_one_task(edges, walk, "node string, depth int")
 
 
-def select(edges: DataFrame, selector: str, local_arcs: int | None = None) -> DataFrame:
+def select(edges: DataFrame, selector: str, local_arcs: int | None = None, missing: str = "error") -> DataFrame:
     """(node, depth, direction, idx) of the nodes that the selector names; idx is the node's index, for ordering.
 
-    Every row carries one direction, that of the whole expression; set expressions have depth 0.
+    Every row carries one direction, that of the whole expression; set expressions have depth 0. A name that no edge
+    has is an error, or selects nothing if missing is "empty".
     """
     from loomkg.operators.edges import LOCAL_ARCS, is_small
 
+    if missing not in ("error", "empty"):
+        raise ValueError("missing is error or empty")
     tree = parse(selector)
     small = is_small(edges, LOCAL_ARCS if local_arcs is None else local_arcs)
     every = nodes(edges)
     index = node_index(edges)
     if index.isEmpty():
         return index.select("node", F.lit(0).alias("depth"), F.lit("").alias("direction"), "idx")
-    known = {r.node for r in index.where(F.col("node").isin(sorted(_names(tree)))).collect()}
-    for name in sorted(_names(tree)):
-        if name not in known:
-            raise SelectorError(f"node not found: {name}")
+    if missing == "error":
+        known = {r.node for r in index.where(F.col("node").isin(sorted(_names(tree)))).collect()}
+        for name in sorted(_names(tree)):
+            if name not in known:
+                raise SelectorError(f"node not found: {name}")
 
     def walk(seeds: DataFrame, names: list[str] | None, direction: str, limit: int) -> DataFrame:
         if small and names is not None:

@@ -365,3 +365,10 @@ def test_generators(spark):
     assert e.count() == 1200 and e.where("src = dst").count() == 0
     p = preferential(spark, 100, 3)
     assert p.count() == 2 * 97 * 3 and components(p).select("component_id").distinct().count() == 1
+
+
+@pytest.mark.parametrize("name", sorted(n for n in base.QUERIES if n.startswith("select_")))
+def test_selectors_of_turns_that_are_not_there(spark, name):
+    """In sf0.1 conversation 3 has turns 0 and 1 only."""
+    d = SF.replace("sf0.001", "sf0.1")
+    assert oracle.differ(oracle.connect(d), base.QUERIES[name](spark, d), base.ORACLES[name]) is None
