@@ -372,3 +372,56 @@ def test_selectors_of_turns_that_are_not_there(spark, name):
     """In sf0.1 conversation 3 has turns 0 and 1 only."""
     d = SF.replace("sf0.001", "sf0.1")
     assert oracle.differ(oracle.connect(d), base.QUERIES[name](spark, d), base.ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
+@pytest.mark.parametrize("kind", ["normal", "signs", "zeros", "large", "tiny"])
+def test_nearest_of_a_block_by_brute_force(metric, kind):
+    """Vectors in batches, by id; ties, lengths beyond float, no length; with and without the pair of a vector with itself."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(42)
+    x, q = rng.normal(size=(900, 6)).astype(np.float32), rng.normal(size=(300, 6)).astype(np.float32)
+    if kind == "signs":
+        x, q = np.sign(x[:, :2]), np.sign(q[:, :2])
+    elif kind == "zeros":
+        x[::3], q[::5] = 0, 0
+    elif kind != "normal":
+        x, q = x.astype(float) * (1e16 if kind == "large" else 1e-16), q.astype(float)
+    a, b = q.astype(float), x.astype(float)
+    dist = np.square(a[:, None] - b[None]).sum(2) if metric == "l2" else vector.matrix_distance(metric, a, b)
+    for own in (False, True):
+        near = vector._Nearest(metric, 7, own, [pa.array(range(120)), pa.array(range(120, 300))], [q[:120], q[120:]])
+        for lo in range(0, 900, 300):
+            near.add(pa.array(range(lo, lo + 300)), x[lo : lo + 300])
+        rows = near.found().to_pylist()
+        got = {i: [] for i in range(300)}
+        for r in sorted(rows, key=lambda r: (round(r["distance"], 9), r["i"])):
+            got[r["q"]].append(r["i"])
+        d = dist.copy()
+        if own:
+            d[np.arange(300), np.arange(300)] = np.inf
+        assert got == {i: np.lexsort((np.arange(900), np.round(d[i], 9)))[:7].tolist() for i in range(300)}
+
+
+def test_knn_reads_vectors_and_queries_once(spark, monkeypatch):
+    """Before, each block of queries was another scan of the vectors, and a task held distances of a whole block."""
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    d = vec(spark, [(i, [float(i), 1.0]) for i in range(30)])
+    found = vector.knn(d, d.withColumnRenamed("id", "qid"), 2, "l2", self_join=True)
+    # two tables and the layout of the blocks for each; it was a scan for each of the ten blocks
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4
+    assert {(r.qid, r.id) for r in found.collect() if r["rank"] == 1} == {(i, max(i - 1, 0) if i else 1) for i in range(30)}
+
+
+def test_index_search_of_all_cells_is_exact(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    d = vec(spark, [(i, [float(z) for z in v]) for i, v in enumerate(rng.normal(size=(200, 5)))])
+    index = vector.VectorIndex.create(spark, str(tmp_path / "i"), dimensions=5, cells=4)
+    index.insert(d)
+    q = d.withColumnRenamed("id", "qid")
+    found = index.search(q, 6, ef_search=128)
+    # pairs are compared in blocks, not joined as rows
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda x: {(r.qid, r.id, r["rank"]) for r in x.collect()}
+    assert rows(found) == rows(index.search(q, 6, exact=True))
