@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomkg.common import ship, shuffle_partitions
-from loomkg.operators.edges import LOCAL_ARCS, Graph, check_direction, collected, is_small
+from loomkg.operators.edges import LOCAL_ARCS, Graph, check_direction, collected, held, is_small
 
 EPS = 1e-10
 
@@ -166,6 +166,7 @@ def _scale(n: int, used: int, direction: str, normalized: bool) -> float:
 def node_betweenness(edges: DataFrame, direction: str = "forward", normalized: bool = False, weighted: bool = False, auto_approx_threshold: int = 50_000, local_arcs: int = LOCAL_ARCS) -> DataFrame:
     """(node, centrality) of every node, zeros included; above the threshold about sqrt(N) sources are extrapolated."""
     check_direction(direction)
+    edges = held(edges)
     g = _small(edges, local_arcs)
     src = _sources(g.n, auto_approx_threshold)
     k = _scale(g.n, len(src), direction, normalized)
@@ -181,6 +182,7 @@ def node_betweenness(edges: DataFrame, direction: str = "forward", normalized: b
 def edge_betweenness(edges: DataFrame, direction: str = "forward", normalized: bool = False, weighted: bool = False, auto_approx_threshold: int = 0, local_arcs: int = LOCAL_ARCS) -> DataFrame:
     """(src, dst, centrality): one row for each stored edge with a flow in its own direction; 'reverse' stores none."""
     check_direction(direction)
+    edges = held(edges)
     g = _small(edges, local_arcs)
     src = _sources(g.n, auto_approx_threshold)
     k = _scale(g.n, len(src), direction, normalized)
@@ -199,6 +201,7 @@ def edge_betweenness(edges: DataFrame, direction: str = "forward", normalized: b
 def closeness(edges: DataFrame, direction: str = "forward", normalized: bool = True, weighted: bool = False, local_arcs: int = LOCAL_ARCS) -> DataFrame:
     """(node, centrality): reached nodes over the sum of distances, times reached / (N - 1) if normalized."""
     check_direction(direction)
+    edges = held(edges)
     g = _small(edges, local_arcs)
 
     def part(g: Graph, sources: np.ndarray) -> pd.DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomkg.operators.edges import LOCAL_ARCS, Graph, arcs, check_direction, in_one_task, is_small
+from loomkg.operators.edges import LOCAL_ARCS, Graph, arcs, check_direction, held, in_one_task, is_small
 
 
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -15,7 +15,7 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
 
     Q = sum over communities of [inside / 2m - resolution (total / 2m)^2], degrees counted in both directions.
     """
-    both = arcs(edges, "both")
+    both = arcs(held(edges), "both")
     a = membership.select(F.col("node").alias("src"), F.col("community_id").alias("ca"))
     b = membership.select(F.col("node").alias("dst"), F.col("community_id").alias("cb"))
     per = both.join(a, "src").join(b, "dst").groupBy("ca").agg(F.sum("weight").alias("tot"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("inside"))
@@ -124,6 +124,10 @@ def leiden(edges: DataFrame, resolution: float = 1.0, direction: str = "both", m
     The sweep is sequential by definition, so one task runs it on a graph of checked size. Larger graphs have
     `label_communities`, which is distributed.
     """
+    return _leiden(held(edges), resolution, direction, mode, local_arcs)
+
+
+def _leiden(edges: DataFrame, resolution: float, direction: str = "both", mode: str = "local", local_arcs: int = LOCAL_ARCS) -> DataFrame:
     check_direction(direction)
     if mode not in ("local", "multilevel"):
         raise ValueError("mode is local or multilevel")
@@ -162,10 +166,11 @@ def label_communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def multi_resolution(edges: DataFrame, resolutions: tuple[float, ...] = (0.25, 1.0, 3.0), **options) -> DataFrame:
-    """(node, resolution, community_id, modularity) for each resolution."""
+    """(node, resolution, community_id, modularity) for each resolution; the edges are evaluated once for all."""
+    edges = held(edges)
     out = None
     for r in resolutions:
-        part = leiden(edges, r, **options).select("node", F.lit(float(r)).alias("resolution"), "community_id", "modularity")
+        part = _leiden(edges, r, **options).select("node", F.lit(float(r)).alias("resolution"), "community_id", "modularity")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -143,6 +143,12 @@ class Graph:
         return int(hit[0]) if len(hit) else -1
 
 
+def held(edges: DataFrame) -> DataFrame:
+    """The edges written once, for operators that read them several times: to count them, to walk them, for each level."""
+    cols = [c for c in ("src", "dst", "weight", "edge_seq") if c in edges.columns]
+    return written(edges.select(*cols), name="edges")
+
+
 def is_small(edges: DataFrame, limit: int = LOCAL_ARCS) -> bool:
     """Whether the edges are few enough to hold at once; counting stops at the limit."""
     return edges.select(F.lit(1)).limit(limit + 1).count() <= limit

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomkg.common import checkpointed
-from loomkg.operators.edges import LOCAL_ARCS, Graph, arcs, check_direction, in_one_task, is_small, nodes
+from loomkg.operators.edges import LOCAL_ARCS, Graph, arcs, check_direction, held, in_one_task, is_small, nodes
 
 _REACH = "node string, depth int, parent string"
+#: Nodes of a level that are sent to all tasks at once.
+_FRONT = 100_000
 _PATH = "node string, distance double, path_order int"
 
 
@@ -49,7 +51,7 @@ def bfs(edges: DataFrame, start: str, max_depth: int = 100, direction: str = "fo
     """
     check_direction(direction)
     spark = edges.sparkSession
-    edges = edges.select("src", "dst", "weight")
+    edges = held(edges.select("src", "dst", "weight"))
     first = spark.createDataFrame([(str(start), 0, None)], _REACH)
     if is_small(edges, local_arcs):
 
@@ -63,12 +65,16 @@ def bfs(edges: DataFrame, start: str, max_depth: int = 100, direction: str = "fo
             return pd.DataFrame({"node": g.names[at], "depth": depth[at].astype(np.int32), "parent": g.names[parent[at]]})
 
         return first.unionAll(in_one_task(edges, walk, _REACH))
-    hops = arcs(edges, direction).select("src", "dst").distinct()
+    hops = arcs(edges, direction).select("src", "dst")
     done = front = checkpointed(first)
+    size = 1
     for level in range(1, max_depth + 1):
+        # a small front goes to the arcs, which then don't move
+        front = F.broadcast(front) if size <= _FRONT else front
         step = front.select(F.col("node").alias("src")).join(hops, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         front = checkpointed(step.join(done, "node", "left_anti").select("node", F.lit(level).alias("depth"), "parent"))
-        if front.isEmpty():
+        size = front.count()
+        if not size:
             break
         done = done.unionAll(front)
     return done
@@ -82,6 +88,7 @@ def dfs(edges: DataFrame, start: str, max_depth: int = 100, direction: str = "fo
     check_direction(direction)
     schema = _REACH + ", visit int"
     spark = edges.sparkSession
+    edges = held(edges)
     if not is_small(edges, local_arcs):
         seen = bfs(edges, start, 1 << 30, direction, local_arcs).select("node")
         edges = edges.join(seen.withColumnRenamed("node", "src"), "src", "left_semi").join(seen.withColumnRenamed("node", "dst"), "dst", "left_semi")
@@ -154,6 +161,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, weighted: bool = False
     start, end = str(start), str(end)
     if start == end:
         return spark.createDataFrame([(start, 0.0, 0)], _PATH)
+    edges = held(edges)
     if weighted and not edges.where("weight < 0").isEmpty():
         raise ValueError("negative weights have no shortest path here")
     if is_small(edges, local_arcs):
@@ -220,7 +228,7 @@ def components(edges: DataFrame, local_arcs: int = LOCAL_ARCS) -> DataFrame:
     Large graphs use alternating hooking and pointer jumping, so the number of rounds grows with the logarithm
     of the diameter.
     """
-    edges = edges.select("src", "dst", "weight")
+    edges = held(edges.select("src", "dst", "weight"))
     schema = "node string, component_id bigint, component_size bigint"
     if is_small(edges, local_arcs):
 

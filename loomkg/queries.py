@@ -54,7 +54,7 @@ CUSTSUPP = "e AS (SELECT DISTINCT 'c:' || o_custkey AS src, 's:' || l_suppkey AS
 
 def custsupp(spark: SparkSession, d: str) -> DataFrame:
     x = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return canonical(x.select(F.concat(F.lit("c:"), "o_custkey").alias("src"), F.concat(F.lit("s:"), "l_suppkey").alias("dst")).distinct())
+    return canonical(x.select("o_custkey", "l_suppkey").distinct().select(F.concat(F.lit("c:"), "o_custkey").alias("src"), F.concat(F.lit("s:"), "l_suppkey").alias("dst")))
 
 
 KNNG = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) x FROM embeddings),

@@ -236,3 +236,30 @@ def test_empty_graph(spark):
     assert nodes(e).count() == 0 and traverse.components(e).count() == 0 and traverse.pagerank(e).count() == 0
     assert centrality.degree(e).count() == 0 and community.leiden(e).count() == 0 and selector.select(e, "A").count() == 0
     assert centrality.closeness(e).count() == 0 and centrality.node_betweenness(e).count() == 0
+
+
+@pytest.mark.parametrize("run", ["multi_resolution", "leiden", "modularity", "node2vec", "bfs", "bfs_large", "components", "closeness", "edge_betweenness"])
+def test_edges_are_evaluated_once(spark, run):
+    """Counting, each resolution, each level and each direction read what was written, not the plan of the edges."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    e = graph(spark, "A>B B>C C>A C>D D>E E>F F>D")
+    e = e.mapInPandas(look, e.schema)
+    member = spark.createDataFrame([(n, n in "ABC") for n in "ABCDEF"], "node string, community_id boolean")
+    {
+        "multi_resolution": lambda: community.multi_resolution(e),
+        "leiden": lambda: community.leiden(e),
+        "modularity": lambda: community.modularity(e, member),
+        "node2vec": lambda: node2vec.node2vec(e, dim=2, num_walks=1, walk_length=3, epochs=1),
+        "bfs": lambda: traverse.bfs(e, "A"),
+        "bfs_large": lambda: traverse.bfs(e, "A", local_arcs=0),
+        "components": lambda: traverse.components(e),
+        "closeness": lambda: centrality.closeness(e),
+        "edge_betweenness": lambda: centrality.edge_betweenness(e),
+    }[run]().collect()
+    assert seen.value == 7
