@@ -7,18 +7,21 @@ lineage is cut with reliable checkpoints. Both give the same rows.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomkg.common import checkpointed
+from loomkg.common import checkpointed, drop_path, new_path, shuffle_partitions
 from loomkg.operators.edges import LOCAL_ARCS, Graph, arcs, check_direction, held, in_one_task, is_small, nodes
 
 _REACH = "node string, depth int, parent string"
 #: Nodes of a level that are sent to all tasks at once.
 _FRONT = 100_000
+#: Arcs of a bucket.
+_BUCKET = 4_000_000
 _PATH = "node string, distance double, path_order int"
 
 
@@ -256,19 +259,30 @@ def components(edges: DataFrame, local_arcs: int = LOCAL_ARCS) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, local_arcs: int = LOCAL_ARCS) -> DataFrame:
-    """(node, rank): fixed iterations from 1/N; parallel arcs count; the mass of sinks spreads over all nodes."""
-    edges = edges.select("src", "dst", "weight")
+    """(node, rank): fixed iterations from 1/N; parallel arcs count; the mass of sinks spreads over all nodes.
+
+    Arcs of a large graph are written once as pairs of numbers in buckets by source, so that rounds move only ranks.
+    """
+    edges = held(edges.select("src", "dst", "weight"))
     if is_small(edges, local_arcs):
         return in_one_task(edges, lambda g: pd.DataFrame({"node": g.names, "rank": rank_nodes(g, damping, iterations)}), "node string, rank double")
-    out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    hops = checkpointed(edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("deg")).alias("share")))
-    every = nodes(edges).join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("deg").isNull().alias("sink"))
-    n = every.count()
-    now = checkpointed(every.withColumn("rank", F.lit(1.0 / max(n, 1))))
-    for i in range(iterations):
-        lost = now.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first()["x"]
-        got = hops.join(now.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        now = now.join(got, "node", "left").select("node", "sink", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + lost / n)).alias("rank"))
-        if i % 4 == 3:
-            now = checkpointed(now)
-    return now.select("node", "rank")
+    from loomkg.operators.edges import dense_index
+
+    spark = edges.sparkSession
+    index = dense_index(nodes(edges), ["node"])
+    n = index.count()
+    ends = edges.join(index.select(F.col("node").alias("src"), F.col("idx").alias("s")), "src").join(index.select(F.col("node").alias("dst"), F.col("idx").alias("t")), "dst").select("s", "t")
+    buckets, table, path = max(shuffle_partitions(spark), -(-edges.count() // _BUCKET)), f"loomkg_hops_{uuid.uuid4().hex}", new_path(spark, "hops")
+    ends.repartition(buckets, "s").write.bucketBy(buckets, "s").option("path", path).format("parquet").saveAsTable(table)
+    hops = spark.table(table)
+    now = index.select("idx").join(hops.groupBy("s").agg(F.count("*").alias("deg")), F.col("idx") == F.col("s"), "left")
+    now = checkpointed(now.select("idx", "deg", F.lit(1.0 / max(n, 1)).alias("rank")))
+    for _ in range(iterations):
+        lost = now.where("deg IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        give = now.where("deg IS NOT NULL").select(F.col("idx").alias("s"), (F.col("rank") / F.col("deg")).alias("share"))
+        got = hops.join(give.hint("shuffle_hash"), "s").groupBy("t").agg(F.sum("share").alias("in"))
+        both = now.join(got, F.col("idx") == F.col("t"), "left").crossJoin(F.broadcast(lost))
+        now = checkpointed(both.select("idx", "deg", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    drop_path(spark, path)
+    return now.join(index, "idx").select("node", "rank")

@@ -238,7 +238,7 @@ def test_empty_graph(spark):
     assert centrality.closeness(e).count() == 0 and centrality.node_betweenness(e).count() == 0
 
 
-@pytest.mark.parametrize("run", ["multi_resolution", "leiden", "modularity", "node2vec", "bfs", "bfs_large", "components", "closeness", "edge_betweenness"])
+@pytest.mark.parametrize("run", ["multi_resolution", "leiden", "modularity", "node2vec", "bfs", "bfs_large", "components", "pagerank", "pagerank_large", "closeness", "edge_betweenness"])
 def test_edges_are_evaluated_once(spark, run):
     """Counting, each resolution, each level and each direction read what was written, not the plan of the edges."""
     seen = spark.sparkContext.accumulator(0)
@@ -259,6 +259,8 @@ def test_edges_are_evaluated_once(spark, run):
         "bfs": lambda: traverse.bfs(e, "A"),
         "bfs_large": lambda: traverse.bfs(e, "A", local_arcs=0),
         "components": lambda: traverse.components(e),
+        "pagerank": lambda: traverse.pagerank(e),
+        "pagerank_large": lambda: traverse.pagerank(e, iterations=2, local_arcs=0),
         "closeness": lambda: centrality.closeness(e),
         "edge_betweenness": lambda: centrality.edge_betweenness(e),
     }[run]().collect()
