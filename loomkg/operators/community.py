@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomkg.operators.edges import LOCAL_ARCS, Graph, arcs, check_direction, held, in_one_task, is_small
+from loomkg.operators.edges import Graph, arcs, check_direction, held, in_one_task, is_small
 
 
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -23,13 +23,22 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
     return sums.select(F.when(F.col("m2") > 0, F.col("i") / F.col("m2") - resolution * F.col("t2") / (F.col("m2") * F.col("m2"))).otherwise(0.0).alias("modularity"))
 
 
+#: Arcs that one task sweeps: some minutes, and memory by the arrays of the graph.
+LEIDEN_ARCS = 10_000_000
+
+
 class _State:
     def __init__(self, g: Graph, direction: str, resolution: float) -> None:
         self.n, self.resolution = g.n, resolution
-        offs, to, w = g.csr("both" if direction == "both" else "forward" if direction == "forward" else "reverse")
-        self.adj = [list(zip(to[offs[v] : offs[v + 1]].tolist(), w[offs[v] : offs[v + 1]].tolist(), strict=True)) for v in range(g.n)]
-        self.k = np.array([sum(x for _, x in a) for a in self.adj]) if g.n else np.zeros(0)
-        self.m = float(self.k.sum()) / 2
+        offs, self.to, self.w = g.csr("both" if direction == "both" else "forward" if direction == "forward" else "reverse")
+        self.offs = offs.tolist()
+        self.k = [float(sum(x for _, x in self.near(v))) for v in range(g.n)]
+        self.m = float(np.array(self.k).sum()) / 2
+
+    def near(self, v: int) -> zip:
+        """(node, weight) of the arcs of v; as arrays, since pairs in Python would be many times larger."""
+        a, b = self.offs[v], self.offs[v + 1]
+        return zip(self.to[a:b].tolist(), self.w[a:b].tolist(), strict=True)
 
     def quality(self, comm: list[int]) -> float:
         if self.m <= 0:
@@ -38,7 +47,7 @@ class _State:
         for v in range(self.n):
             c = comm[v]
             tot[c] = tot.get(c, 0.0) + self.k[v]
-            inside[c] = inside.get(c, 0.0) + sum(w for t, w in self.adj[v] if comm[t] == c)
+            inside[c] = inside.get(c, 0.0) + sum(w for t, w in self.near(v) if comm[t] == c)
         m2 = 2 * self.m
         return float(sum(inside[c] / m2 - self.resolution * (tot[c] / m2) ** 2 for c in tot))
 
@@ -53,7 +62,7 @@ class _State:
             for v in range(self.n):
                 link: dict[int, float] = {}
                 own = comm[v]
-                for t, w in self.adj[v]:
+                for t, w in self.near(v):
                     if t != v and (within is None or within[t] == within[v]):
                         link[comm[t]] = link.get(comm[t], 0.0) + w
                 to_own, best, where = link.get(own, 0.0), 0.0, own
@@ -118,7 +127,7 @@ def leiden_multilevel(g: Graph, resolution: float, direction: str) -> tuple[list
     return comm, top.quality(comm)
 
 
-def leiden(edges: DataFrame, resolution: float = 1.0, direction: str = "both", mode: str = "local", local_arcs: int = LOCAL_ARCS) -> DataFrame:
+def leiden(edges: DataFrame, resolution: float = 1.0, direction: str = "both", mode: str = "local", local_arcs: int = LEIDEN_ARCS) -> DataFrame:
     """(node, community_id, modularity): ids are contiguous in order of first appearance, modularity is that of the whole.
 
     The sweep is sequential by definition, so one task runs it on a graph of checked size. Larger graphs have
@@ -127,7 +136,7 @@ def leiden(edges: DataFrame, resolution: float = 1.0, direction: str = "both", m
     return _leiden(held(edges), resolution, direction, mode, local_arcs)
 
 
-def _leiden(edges: DataFrame, resolution: float, direction: str = "both", mode: str = "local", local_arcs: int = LOCAL_ARCS) -> DataFrame:
+def _leiden(edges: DataFrame, resolution: float, direction: str = "both", mode: str = "local", local_arcs: int = LEIDEN_ARCS) -> DataFrame:
     check_direction(direction)
     if mode not in ("local", "multilevel"):
         raise ValueError("mode is local or multilevel")
